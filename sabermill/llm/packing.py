@@ -175,10 +175,10 @@ def _wide(ids: bytes, n: int) -> bytes:
 def sequences(pieces: DataFrame, end_id: int = 1, window: int = 2048) -> DataFrame:
     """(sequence_id, ids array<int>, documents): the packed windows, the last one padded with ``end_id``; a window has at most ``window`` pieces."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> pa.Table:
         order = np.argsort(np.asarray(table["offset"].combine_chunks()), kind="stable")
         ids = np.frombuffer(b"".join(table["ids"].take(pa.array(order)).to_pylist()), "<u4").astype(np.int32)
         ids = np.concatenate([ids, np.full(window - len(ids), end_id, np.int32)])
-        return pa.table({"sequence_id": [key[0].as_py()], "ids": pa.array([ids.tolist()], pa.list_(pa.int32())), "documents": [len(order)]})
+        return pa.table({"sequence_id": table["sequence_id"].slice(0, 1), "ids": pa.array([ids.tolist()], pa.list_(pa.int32())), "documents": [len(order)]})
 
     return pieces.select("sequence_id", "offset", "ids").groupBy("sequence_id").applyInArrow(run, "sequence_id long, ids array<int>, documents long")
