@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sabermill.llm.shared import Scratch
 
@@ -26,6 +26,26 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def held_out(remainder: int, parts: int) -> Column:
+    """Whether the CRC-32 of the id as text leaves ``remainder``; a null id is never held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == remainder, F.lit(False))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sabermill.llm.langid import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    learn = F.crc32(F.col("id").cast("string").cast("binary")) % 4 != 2
+    return identify(docs, train(docs, learn)).select("doc_id", held_out(2, 4).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sabermill.llm.linededup import line_dedup
+
+    cut = line_dedup(table(spark, sf_dir, "documents"), Scratch(spark))
+    return cut.select("doc_id", "total_lines", "removed_lines", "removed_chunks", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sabermill.llm.decontaminate import contamination
 
@@ -33,5 +53,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op10_decontamination": op10_decontamination}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_language_id": op4_language_id, "op7_line_dedup": op7_line_dedup, "op10_decontamination": op10_decontamination}
 ORACLES: dict[str, str] = {}
