@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sabermill.llm.license import oracle
 from sabermill.llm.shared import Scratch
 
 
@@ -39,6 +40,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs, learn)).select("doc_id", held_out(2, 4).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sabermill.llm.chat import format_conversations, read_back
+
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sabermill.llm.linededup import line_dedup
 
@@ -46,6 +55,17 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "total_lines", "removed_lines", "removed_chunks", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+#: The files of the licence scan: each document in the directory source / language / hundred of its id.
+FILES = "concat_ws('/', source, lang, cast(floor(doc_id / 100) AS {long}), concat(cast(doc_id AS {string}), '.txt'))"
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sabermill.llm.license import license_scan
+
+    docs = table(spark, sf_dir, "documents")
+    return license_scan(docs.select("doc_id", F.expr(FILES.format(long="BIGINT", string="STRING")).alias("path"), "text"), Scratch(spark))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sabermill.llm.decontaminate import contamination
 
@@ -53,5 +73,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_language_id": op4_language_id, "op7_line_dedup": op7_line_dedup, "op10_decontamination": op10_decontamination}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_language_id": op4_language_id, "op6_chat": op6_chat, "op7_line_dedup": op7_line_dedup, "op9_license_scan": op9_license_scan, "op10_decontamination": op10_decontamination}
+ORACLES: dict[str, str] = {"op9_license_scan": oracle(f"SELECT doc_id, {FILES.format(long='BIGINT', string='VARCHAR')} AS path, text FROM documents")}
