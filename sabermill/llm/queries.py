@@ -20,6 +20,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), Scratch(spark)).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sabermill.llm.ann import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sabermill.llm.simhash import near_duplicates
 
@@ -73,5 +80,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_language_id": op4_language_id, "op6_chat": op6_chat, "op7_line_dedup": op7_line_dedup, "op9_license_scan": op9_license_scan, "op10_decontamination": op10_decontamination}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_ann": op2_ann, "op3_simhash": op3_simhash, "op4_language_id": op4_language_id, "op6_chat": op6_chat, "op7_line_dedup": op7_line_dedup, "op9_license_scan": op9_license_scan, "op10_decontamination": op10_decontamination}
 ORACLES: dict[str, str] = {"op9_license_scan": oracle(f"SELECT doc_id, {FILES.format(long='BIGINT', string='VARCHAR')} AS path, text FROM documents")}
