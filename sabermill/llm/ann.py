@@ -7,13 +7,17 @@ those vectors are verified by their exact inner product. Inner products become d
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-PROJECTIONS, THRESHOLD = 32, 0.5
-#: Windows start with this share of a block and grow by WIDEN until at least VERIFY times k vectors and SHARE of the block passed the threshold.
-START, WIDEN, VERIFY, SHARE = 0.08, 1.5, 8, 0.02
+PROJECTIONS, THRESHOLD = 96, 0.5
+#: Windows are first as wide as START of a block's middle, and grow by WIDEN until at least VERIFY times k vectors and SHARE of the block passed the threshold.
+START, WIDEN, VERIFY, SHARE = 0.4, 1.2, 8, 0.2
+#: Queries that widen their windows together.
+BATCH = 128
 #: Rows of a block of vectors, and of a block of queries; smaller inputs get SPREAD blocks at least if they have SMALL rows each.
 BLOCK, QUERIES, SMALL, SPREAD = 65_536, 2_048, 8_192, 8
 
@@ -35,46 +39,51 @@ class Index:
         projected = lifted @ self.directions
         self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(projected, self.order.T, axis=0).T.copy()
-
-    def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Rows that collide with the query in enough arrays, under the narrowest windows for which there are enough."""
-        n = len(self.ids)
+        n = len(ids)
+        a, b = int(n * (1 - START) / 2), min(n - 1, int(n * (1 + START) / 2))
+        self.half = max(float(np.median(self.sorted[:, b] - self.sorted[:, a])) / 2, 1e-9)
+
+    def windows(self, at: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds (query, array) of the windows of width 2 half around the queries' projections."""
+        both = [[np.searchsorted(self.sorted[j], at[:, j] + side, where) for j in range(PROJECTIONS)] for side, where in ((-half, "left"), (half, "right"))]
+        return np.array(both[0]).T, np.array(both[1]).T
+
+    def candidates(self, queries: np.ndarray, k: int) -> Iterator[np.ndarray]:
+        """For each query the rows that collide with it in enough arrays, under the narrowest windows for which there are enough rows."""
+        n, need = len(self.ids), int(np.ceil(THRESHOLD * PROJECTIONS))
         enough = min(n, max(VERIFY * k, int(SHARE * n)))
-        if enough == n:
-            return np.arange(n)
-        at = query @ self.directions[:-1]
-        need = int(np.ceil(THRESHOLD * PROJECTIONS))
-        counts = np.zeros(n, np.int16)
-        # the first width holds START of a block around the middle projection, for all arrays alike
-        half = np.median([self._reach(j, at[j], START) for j in range(PROJECTIONS)])
-        low = high = None
-        while True:
-            lo = np.array([np.searchsorted(self.sorted[j], at[j] - half, "left") for j in range(PROJECTIONS)])
-            hi = np.array([np.searchsorted(self.sorted[j], at[j] + half, "right") for j in range(PROJECTIONS)])
-            for j in range(PROJECTIONS):
-                if low is None:
-                    counts[self.order[j, lo[j] : hi[j]]] += 1
-                else:
-                    counts[self.order[j, lo[j] : low[j]]] += 1
-                    counts[self.order[j, high[j] : hi[j]]] += 1
-            passed = np.flatnonzero(counts >= need)
-            if len(passed) >= enough or ((lo == 0) & (hi == n)).all():
-                return passed
-            low, high, half = lo, hi, half * WIDEN
-
-    def _reach(self, j: int, at: float, share: float) -> float:
-        n = len(self.ids)
-        i = int(np.searchsorted(self.sorted[j], at))
-        a, b = max(0, i - int(share * n / 2)), min(n - 1, i + int(share * n / 2))
-        return max(abs(at - self.sorted[j, a]), abs(self.sorted[j, b] - at), 1e-9)
-
-    def nearest(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, inner products) of the best verified candidates, ties to smaller ids."""
-        rows = self.candidates(query, k + 1)
-        rows = rows[self.ids[rows] != query_id]
-        score = (self.vectors[rows] * query).sum(axis=1)
-        best = np.lexsort((self.ids[rows], -score))[:k]
-        return self.ids[rows[best]], score[best]
+        for first in range(0, len(queries), BATCH):
+            at = queries[first : first + BATCH] @ self.directions[:-1]
+            passed: list = [None] * len(at)
+            counts = np.zeros((len(at), n), np.int16)
+            left, half, low, high = np.arange(len(at)), self.half, None, None
+            while len(left):
+                lo, hi = self.windows(at[left], half)
+                still = np.zeros(len(left), bool)
+                for x, i in enumerate(left):
+                    if low is None:
+                        new = [self.order[j, a:b] for j, (a, b) in enumerate(zip(lo[x], hi[x]))]
+                    else:
+                        new = [self.order[j, a:b] for j in range(PROJECTIONS) for a, b in ((lo[x, j], low[x, j]), (high[x, j], hi[x, j]))]
+                    counts[i] += np.bincount(np.concatenate(new), minlength=n).astype(np.int16)
+                    found = np.flatnonzero(counts[i] >= need)
+                    if len(found) >= enough or (not lo[x].any() and (hi[x] == n).all()):
+                        passed[i] = found
+                    else:
+                        still[x] = True
+                left, low, high, half = left[still], lo[still], hi[still], half * WIDEN
+            yield from passed
+
+    def nearest(self, query_ids: list[int], queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, inner products) of each query's best verified candidates, ties to smaller ids."""
+        for query_id, query, rows in zip(query_ids, queries, self.candidates(queries, k + 1)):
+            rows = rows[self.ids[rows] != query_id]
+            score = (self.vectors[rows] * query).sum(axis=1)
+            if len(rows) > 4 * k:
+                near = np.partition(score, len(score) - k)[len(score) - k]
+                rows, score = rows[score >= near], score[score >= near]
+            best = np.lexsort((self.ids[rows], -score))[:k]
+            yield self.ids[rows[best]], score[best]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", query_id_col: str = "vec_id") -> DataFrame:
@@ -102,8 +111,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                 return np.concatenate([np.asarray(c.flatten()) for c in t["v"].chunks]).reshape(-1, dim)
 
             index = Index(np.asarray(left["id"].combine_chunks()), matrix(left), largest)
-            for q, v in zip(right["id"].to_pylist(), matrix(right)):
-                ids, score = index.nearest(q, v, k)
+            asked_ids = right["id"].to_pylist()
+            for q, (ids, score) in zip(asked_ids, index.nearest(asked_ids, matrix(right), k)):
                 out.append((np.full(len(ids), q), ids, score))
         cols = [np.concatenate([x[i] for x in out]) if out else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.float64))]
         return pa.table(cols, names=["query_id", "vec_id", "score"])
