@@ -62,6 +62,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "total_lines", "removed_lines", "removed_chunks", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sabermill.llm.suffix import remove_repeats
+
+    cut = remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark))
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: The files of the licence scan: each document in the directory source / language / hundred of its id.
 FILES = "concat_ws('/', source, lang, cast(floor(doc_id / 100) AS {long}), concat(cast(doc_id AS {string}), '.txt'))"
 
@@ -80,5 +87,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_ann": op2_ann, "op3_simhash": op3_simhash, "op4_language_id": op4_language_id, "op6_chat": op6_chat, "op7_line_dedup": op7_line_dedup, "op9_license_scan": op9_license_scan, "op10_decontamination": op10_decontamination}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_ann": op2_ann, "op3_simhash": op3_simhash, "op4_language_id": op4_language_id, "op6_chat": op6_chat, "op7_line_dedup": op7_line_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op9_license_scan": op9_license_scan, "op10_decontamination": op10_decontamination}
 ORACLES: dict[str, str] = {"op9_license_scan": oracle(f"SELECT doc_id, {FILES.format(long='BIGINT', string='VARCHAR')} AS path, text FROM documents")}

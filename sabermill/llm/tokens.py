@@ -7,8 +7,8 @@ import json
 
 import regex
 
-#: Above this many words the cache starts anew; it only saves time.
-CACHE_WORDS = 400_000
+#: A generation of the cache has so many words; the last one is kept beside it. It only saves time.
+CACHE_WORDS = 500_000
 
 _UNSAFE = regex.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f̀-\U0010ffff]|<\|")
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -31,13 +31,21 @@ class Encoder(dict):
         steps = [x["type"] for x in (model.get("normalizer") or {}).get("normalizers", [])]
         self.fast = steps == ["NFC", "Replace", "Lowercase"] and model["model"].get("end_of_word_suffix") == "</w>"
         self.model = self.whole.model
-        self.bytes = _byte_letters()
+        self.letters = str.maketrans(dict(enumerate(_byte_letters())))
+        self.last: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
+            self.last = dict(self)
             self.clear()
-        ids = [t.id for piece in _PIECE.findall(word) for t in self.model.tokenize("".join([self.bytes[b] for b in piece.encode()]))]
-        out = b"".join([i.to_bytes(4, "little") for i in ids])
+        out = self.last.get(word)
+        if out is None:
+            pieces = [word] if word.isalpha() and word.isascii() else _PIECE.findall(word)
+            if len(pieces) == 1:
+                spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                out = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelt)])
+            else:
+                out = b"".join([self[p] for p in pieces])
         if len(word) <= 64:
             self[word] = out
         return out
