@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sabermill.llm.kernels import LOWER, slices, squeeze, utf8
+from sabermill.llm.rows import keep_rows
 
 #: The automaton is built in every Python worker from the benchmark's windows; a test set of more bytes than this is refused, not cut.
 MAX_BENCHMARK_BYTES = 64 << 20
@@ -51,13 +52,8 @@ def _automaton(windows: list[tuple[bytes, tuple[str, ...]]], key: str):
     return _BUILT[key]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Per document: (doc_id, n_words, n_hit, spans array<struct<start,end>>, items array<string>, contaminated).
-
-    A word is hit inside any occurrence of an item's window of ``size`` words. ``spans`` are the maximal runs of hit words, as code point
-    offsets into the original text; ``items``: ids as text, sorted, each once. Null or wordless text: no words, clean. Items with a null id or without words
-    have no windows; repeated items count once. Repeated documents keep a row each; a null id is returned. The whole text is scanned once, without a shuffle.
-    """
+def _shared(docs: DataFrame, benchmark: DataFrame, size: int, item_col: str, item_text_col: str):
+    """The benchmark's windows, broadcast, and their digest."""
     spark = docs.sparkSession
     table = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     total = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -66,6 +62,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     windows = sorted((w, tuple(sorted(i))) for w, i in item_windows([tuple(r) for r in table.collect()], size).items())
     key = hashlib.sha256(repr(windows).encode()).hexdigest()
     shared = spark.sparkContext.broadcast(windows)
+    return shared, key
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows without any hit word; see ``contamination``."""
+    shared, key = _shared(docs, benchmark, size, item_col, item_text_col)
+
+    def keep(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        out = [np.zeros(0, bool)]
+        for a, b in slices(offs):
+            ids = pa.nulls(b - a, pa.int64())
+            out.append(~np.asarray(_scan(ids, buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], *_automaton(shared.value, key), shared.value).column(5)))
+        return np.concatenate(out)
+
+    return keep_rows(docs, text_col, keep)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """Per document: (doc_id, n_words, n_hit, spans array<struct<start,end>>, items array<string>, contaminated).
+
+    A word is hit inside any occurrence of an item's window of ``size`` words. ``spans`` are the maximal runs of hit words, as code point
+    offsets into the original text; ``items``: ids as text, sorted, each once. Null or wordless text: no words, clean. Items with a null id or without words
+    have no windows; repeated items count once. Repeated documents keep a row each; a null id is returned. The whole text is scanned once, without a shuffle.
+    """
+    shared, key = _shared(docs, benchmark, size, item_col, item_text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, sizes, lens = _automaton(shared.value, key)

@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sabermill.llm.kernels import slices, utf8
+from sabermill.llm.rows import keep_rows
 
 ORDER = 3
 #: The fit: so many documents of each language (smallest hash of their id first), so many bytes of each, so many languages (most frequent first).
@@ -137,16 +138,16 @@ def code_lengths(model: Model, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fits on at most SAMPLE_DOCS rows of each of at most LANGUAGES languages where ``labelled`` holds and language and text are not null.
 
-    Languages are counted over all labelled rows. Only ids and languages are ranked (each task keeps its first SAMPLE_DOCS before the shuffle); the texts
+    None without any such row. Languages are counted over all labelled rows. Only ids and languages are ranked (each task keeps its first SAMPLE_DOCS before the shuffle); the texts
     of the ranked rows alone are then read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(labelled).where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
     prior = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not prior:
-        raise ValueError("no labelled text to learn from")
+        return None
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = rows.where(F.col("lang").isin(*prior)).select("id", "lang", F.row_number().over(order).alias("k")).where(f"k <= {SAMPLE_DOCS}").select("id", "lang").distinct()
     part = rows.select("id", "lang", F.substring(F.encode("text", "UTF-8"), 1, SAMPLE_BYTES).alias("bytes")).join(F.broadcast(chosen), ["id", "lang"], "left_semi")
@@ -166,22 +167,30 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            buf, offs = utf8(batch.column(1))
-            size = np.diff(offs)
-            bits = code_lengths(m, buf, offs)
-            letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[buf])])
-            ok = letters[offs[1:]] > letters[offs[:-1]]
-            for i in np.flatnonzero(~ok & (size > 0)):
-                ok[i] = _LETTER.search(buf[offs[i] : offs[i + 1]].tobytes().decode()) is not None
-            total = bits + m.prior
-            best = total.argmin(axis=1) if len(total) else np.zeros(0, np.int64)
-            least = total[np.arange(len(total)), best]
-            score = np.where(ok, 1 / np.exp2(least[:, None] - total).sum(axis=1), 0.0)
-            names = [m.languages[b] if k else "und" for b, k in zip(best, ok)]
-            rate = np.where(size > 0, bits[np.arange(len(total)), best] / np.maximum(size, 1), 0.0)
+            names, score, rate = predict(shared.value, *utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rate)], ["id", "lang_pred", "score", "bits_per_byte"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("id", id_col)
+
+
+def predict(model: Model, buf: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, posterior, bits a byte) of each text."""
+    size, bits = np.diff(offs), code_lengths(model, buf, offs)
+    letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[buf])])
+    ok = letters[offs[1:]] > letters[offs[:-1]]
+    for i in np.flatnonzero(~ok & (size > 0)):
+        ok[i] = _LETTER.search(buf[offs[i] : offs[i + 1]].tobytes().decode()) is not None
+    total = bits + model.prior
+    best = total.argmin(axis=1) if len(total) else np.zeros(0, np.int64)
+    least = total[np.arange(len(total)), best]
+    score = np.where(ok, 1 / np.exp2(least[:, None] - total).sum(axis=1), 0.0)
+    rate = np.where(size > 0, bits[np.arange(len(total)), best] / np.maximum(size, 1), 0.0)
+    return [model.languages[b] if k else "und" for b, k in zip(best, ok)], score, rate
+
+
+def identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows whose language is found with a posterior of ``least`` or more; null texts and texts without a letter go."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, text_col, lambda buf, offs: predict(shared.value, buf, offs)[1] >= least)

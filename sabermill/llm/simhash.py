@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sabermill.llm.components import connected_components
-from sabermill.llm.kernels import shingle_hashes, slices, utf8
+from sabermill.llm.kernels import mix64, shingle_hashes, slices, utf8
 from sabermill.llm.shared import Scratch
 
 #: Fingerprints that share a block key are compared inside one task up to this many; larger groups go another, equally exact way.
@@ -151,3 +152,104 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 3, distance:
     classes = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
     joined = fps.join(classes, "fp", "left")
     return joined.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+
+
+#: Words of 64 bits of a wide fingerprint; its blocks have BLOCK bits.
+WIDE, BLOCK = 4, 16
+_SALTS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+def bits_for(similarity: float) -> int:
+    """Differing bits of wide fingerprints expected at a Jaccard similarity of equally long texts."""
+    return int(64 * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def wide_fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, f0 .. f3): 256-bit SimHash and number of shingles of each whole text that has words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offs = utf8(batch.column(1))
+            for a, b in slices(offs, 1 << 20):
+                hashes, before, _ = shingle_hashes(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], words)
+                some = np.flatnonzero(np.diff(before))
+                prints = [fingerprint(mix64(hashes ^ salt) if salt else hashes, before)[some] for salt in _SALTS]
+                ids = batch.column(0).slice(a, b - a).take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(before)[some]), *[pa.array(f.view(np.int64)) for f in prints]], ["id", "n", *(f"f{k}" for k in range(WIDE))])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "id long, n long, " + ", ".join(f"f{k} long" for k in range(WIDE)))
+
+
+def _wide_star(prints: np.ndarray, reps: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Spanning links of the graph of prints (row, word) within ``limit`` bits."""
+    left, out = np.arange(len(reps)), []
+    while len(left) > 1:
+        frontier, left = [left[0]], left[1:]
+        while frontier and len(left):
+            node = frontier.pop()
+            near = np.bitwise_count(prints[left] ^ prints[node]).sum(axis=1, dtype=np.int32) <= limit
+            if near.any():
+                found = left[near]
+                out += [(int(reps[node]), int(reps[i])) for i in found]
+                frontier += found.tolist()
+                left = left[~near]
+    return out
+
+
+def _wide_links(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def linked(rows: list[np.ndarray]) -> pa.RecordBatch:
+            cut = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
+            at, to = np.concatenate([[0], cut]), np.concatenate([cut, [len(rows[0])]])
+            prints = np.stack(rows[3:], axis=1).view(np.uint64)
+            links = [x for a, b in zip(at, to) if b - a > 1 for x in _wide_star(prints[a:b], rows[2][a:b], limit)]
+            links = sorted(set(links))
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                new = [np.asarray(batch.column(i)) for i in range(batch.num_columns)]
+                rows = [np.concatenate(x) for x in zip(held, new)] if held else new
+                last = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+                cut = last[-1] + 1 if len(last) else 0
+                if cut:
+                    yield linked([x[:cut] for x in rows])
+                held = [x[cut:] for x in rows]
+        if held:
+            yield linked(held)
+
+    return run
+
+
+def near_copies(docs: DataFrame, scratch: Scratch, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component) of texts with words: near copies, of about ``similarity`` in their ``words``-word shingles or more, share the smallest id reachable.
+
+    Fingerprints of 256 bits are split into 16 blocks; texts that share a block, and whose numbers of shingles allow the similarity, are compared by the Hamming distance that the
+    similarity makes likely. A pair of up to 15 differing bits shares a block for certain; at similarity 0.9 all but about one pair in 20, and copies of a copy are found through each other.
+    Equal fingerprints are one vertex. A bucket of over BUCKET vertices is dealt out as pairs of parts, so no task holds more, and every pair of the bucket still meets.
+    Null ids and texts without words take no part. Repeated ids are one vertex each.
+    """
+    limit = bits_for(similarity)
+    cols = [f"f{k}" for k in range(WIDE)]
+    fps = scratch.write(wide_fingerprints(docs, words, id_col, text_col), "wide")
+    reps = scratch.write(fps.groupBy(*cols).agg(F.min("id").alias("rep"), F.min("n").alias("n")), "reps")
+    size = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / similarity) + F.lit(1e-9)).cast("long")
+    per = 64 // BLOCK
+    blocks = [F.struct(F.lit(i).alias("t"), F.shiftrightunsigned(cols[i // per], BLOCK * (i % per)).bitwiseAND(F.lit((1 << BLOCK) - 1)).alias("v")) for i in range(WIDE * per)]
+    keyed = reps.withColumn("s", size).select(F.explode(F.array(*blocks)).alias("k"), "s", "rep", *cols)
+    keyed = keyed.select(F.col("k.t").alias("t"), F.col("k.v").alias("v"), F.explode(F.array(F.col("s"), F.col("s") + 1)).alias("s"), "rep", *cols)
+    keyed = keyed.select("t", ((F.col("s") * (1 << BLOCK) + F.col("v")) * 4096).alias("key"), "rep", *cols)
+    hot = scratch.write(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(f"n > {BUCKET}"), "hot")
+    if not hot.isEmpty():
+        parts = F.least(F.ceil(F.col("n") * 2 / BUCKET), F.lit(62)).cast("int")
+        dealt = keyed.join(hot.select("t", "key", parts.alias("p")), ["t", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("p")).cast("int"))
+        dealt = dealt.select("t", "key", "own", F.explode(F.expr("sequence(0, p - 1)")).alias("other"), "rep", *cols)
+        dealt = dealt.select("t", (F.col("key") + 1 + F.least("own", "other") * 64 + F.greatest("own", "other")).alias("key"), "rep", *cols)
+        keyed = keyed.join(hot, ["t", "key"], "left_anti").unionByName(dealt)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = keyed.repartition(n, "t", "key").sortWithinPartitions("t", "key").mapInArrow(_wide_links(limit), "a long, b long")
+    comps = connected_components(links, scratch).withColumnRenamed("node", "rep")
+    classes = reps.join(comps, "rep", "left").select(*cols, F.coalesce("component", "rep").alias("component"))
+    return fps.join(classes, cols).select("id", "component")
