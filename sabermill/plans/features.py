@@ -79,9 +79,9 @@ def ranks(t):
     return w.average_rank(rows, ["o_orderpriority"], "x").select("o_orderkey", "o_orderpriority", "rank")
 
 
-@query("days_off", "WITH {log} SELECT seq, player, CAST(date_diff('day', lag(day) OVER (PARTITION BY player ORDER BY ts, seq), day) AS BIGINT) AS days_off FROM log")
+@query("days_off", "WITH {log} SELECT seq, player, CAST(coalesce(date_diff('day', lag(day) OVER (PARTITION BY player ORDER BY ts, seq), day), -1) AS BIGINT) AS days_off FROM log")
 def days_off(t):
-    return w.gap_days(t.log, "player", OLD, "day").select("seq", "player", "days_off")
+    return w.gap_days(t.log, "player", OLD, "day").select("seq", "player", F.coalesce("days_off", F.lit(-1)).cast("long").alias("days_off"))
 
 
 @query("percentile_rank", "WITH {log} SELECT seq, team, round((row_number() OVER (PARTITION BY team ORDER BY value, seq) - 1) / greatest(count(*) OVER (PARTITION BY team) - 1, 1) + 1e-7, 4) AS pct, round(cume_dist() OVER (PARTITION BY team ORDER BY value) + 1e-7, 4) AS at_most FROM log")
