@@ -47,6 +47,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs, learn)).select("doc_id", held_out(2, 4).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sabermill.llm.katz import katz_scores
+
+    return katz_scores(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sabermill.llm.chat import format_conversations, read_back
 
@@ -87,5 +93,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_ann": op2_ann, "op3_simhash": op3_simhash, "op4_language_id": op4_language_id, "op6_chat": op6_chat, "op7_line_dedup": op7_line_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op9_license_scan": op9_license_scan, "op10_decontamination": op10_decontamination}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_ann": op2_ann, "op3_simhash": op3_simhash, "op4_language_id": op4_language_id, "op5_katz": op5_katz, "op6_chat": op6_chat, "op7_line_dedup": op7_line_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op9_license_scan": op9_license_scan, "op10_decontamination": op10_decontamination}
 ORACLES: dict[str, str] = {"op9_license_scan": oracle(f"SELECT doc_id, {FILES.format(long='BIGINT', string='VARCHAR')} AS path, text FROM documents")}
