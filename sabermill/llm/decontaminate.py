@@ -41,6 +41,7 @@ def _automaton(windows: list[tuple[bytes, tuple[str, ...]]], key: str):
     if key not in _BUILT:
         import ahocorasick
 
+        _BUILT.clear()
         trie = ahocorasick.Automaton()
         for k, (window, _) in enumerate(windows):
             trie.add_word(f" {window.decode('latin-1')} ", k)

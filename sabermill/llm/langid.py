@@ -23,7 +23,7 @@ ORDER = 3
 #: The fit: so many documents of each language (smallest hash of their id first), so many bytes of each, so many languages (most frequent first).
 SAMPLE_DOCS, SAMPLE_BYTES, LANGUAGES = 400, 16_384, 64
 #: The model's size: distinct byte classes (rarer bytes share one) and contexts of the highest orders (rarer ones use the next shorter).
-CLASSES, CONTEXTS = 128, 20_000
+CLASSES, CONTEXTS = 128, 12_000
 
 _LETTER = regex.compile(r"\p{L}")
 _ASCII_LETTER = np.zeros(256, bool)

@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sabermill.llm.kernels import mix64
+from sabermill.llm.kernels import mix64, release
 from sabermill.llm.shared import Scratch
 
 #: A boundary follows a line with chance 1 / LINES, and every MOST lines in any case.
@@ -102,6 +102,7 @@ def line_dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
                 counts.append((0, 0, 0) if t is None else done[1:])
             arrays = [batch.column(i) if i != at else pa.array(kept, pa.string()) for i in range(len(cols))]
             yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3))], [*cols, "removed_chunks", "removed_lines", "total_lines"])
+        release()
 
     return joined.mapInArrow(cut, f"{schema}, removed_chunks long, removed_lines long, total_lines long").toDF(*names, "removed_chunks", "removed_lines", "total_lines")
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from sabermill.llm.kernels import release
 from sabermill.llm.shared import Scratch
 from sabermill.llm.tokens import encoder, load_spec
 
@@ -92,6 +93,7 @@ def tokenized(docs: DataFrame, spec: str, end_id: int, id_col: str, text_col: st
                 if (narrow := [np.frombuffer(x, "<u4") for x in ids]) and all(x.max() < 65536 for x in narrow):
                     ids = [x.astype("<u2").tobytes() for x in narrow]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([pid] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(lens, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "queue", "pid", "start", "n", "ids"])
+        release()
 
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), queue.alias("queue"), F.col(text_col).alias("text"))
     return cols.mapInArrow(run, "doc_id long, queue string, pid int, start long, n long, ids binary")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sabermill.llm.components import connected_components
-from sabermill.llm.kernels import mix64, shingle_hashes, slices, utf8
+from sabermill.llm.kernels import mix64, release, shingle_hashes, slices, utf8
 from sabermill.llm.shared import Scratch
 
 #: Fingerprints that share a block key are compared inside one task up to this many; larger groups go another, equally exact way.
@@ -176,6 +176,7 @@ def wide_fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -
                 prints = [fingerprint(mix64(hashes ^ salt) if salt else hashes, before)[some] for salt in _SALTS]
                 ids = batch.column(0).slice(a, b - a).take(pa.array(some))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(before)[some]), *[pa.array(f.view(np.int64)) for f in prints]], ["id", "n", *(f"f{k}" for k in range(WIDE))])
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "id long, n long, " + ", ".join(f"f{k} long" for k in range(WIDE)))
 

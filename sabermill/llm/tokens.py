@@ -8,7 +8,7 @@ import json
 import regex
 
 #: A generation of the cache has so many words; the last one is kept beside it. It only saves time.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 _UNSAFE = regex.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f̀-\U0010ffff]|<\|")
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
