@@ -10,21 +10,25 @@ from sabermill.operators import windows as w
 from sabermill.operators.asof import latest_per_key
 from sabermill.plans.base import query
 
-OLD, NEW = [F.col("ts"), F.col("seq")], [F.desc("ts"), F.desc("seq")]
+OLD = ["ts", "seq"]
+
+
+def newest():
+    return [F.desc("ts"), F.desc("seq")]
 
 
 @query("tail_features", """WITH {log}, k AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY ts DESC, seq DESC) AS rn FROM log)
 SELECT player, count(*) AS games, round(avg(value) + 1e-7, 4) AS mean_all, round(median(value) + 1e-7, 4) AS median_all, round(stddev_samp(value) + 1e-7, 4) AS sd_all, round(avg(CAST(value = 0 AS INTEGER)) + 1e-7, 4) AS zero_share,
 round(avg(value) FILTER (rn <= 3) + 1e-7, 4) AS mean_3, round(avg(value) FILTER (rn <= 5) + 1e-7, 4) AS mean_5, round(avg(value) FILTER (rn <= 10) + 1e-7, 4) AS mean_10 FROM k GROUP BY player""")
 def tail(t):
-    out = w.tail_features(t.log, "player", NEW, "value")
+    out = w.tail_features(t.log, "player", newest(), "value")
     return out.select("player", "games", *[r(F.col(c)).alias(c) for c in ("mean_all", "median_all", "sd_all", "zero_share", "mean_3", "mean_5", "mean_10")])
 
 
 @query("recent_slope", """WITH {log}, k AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY ts DESC, seq DESC) AS rn FROM log)
 SELECT player, round(CASE WHEN count(*) < 3 THEN 0 ELSE coalesce(regr_slope(value, -rn), 0) END + 1e-7, 4) AS slope FROM k WHERE rn <= 5 GROUP BY player""")
 def slope(t):
-    return w.recent_slope(t.log, "player", NEW, "value").select("player", r(F.col("slope")).alias("slope"))
+    return w.recent_slope(t.log, "player", newest(), "value").select("player", r(F.col("slope")).alias("slope"))
 
 
 @query("prior_rolling_residual", """WITH {log} SELECT seq, player, round(CASE WHEN count(value) OVER p >= 3 THEN value - avg(value) OVER p END + 1e-7, 4) AS residual FROM log WINDOW p AS (PARTITION BY player ORDER BY ts, seq ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)""")

@@ -9,7 +9,8 @@ from sabermill.functions.odds import stable_round as r
 from sabermill.operators import aggregates as agg
 from sabermill.plans.base import query
 
-PROFIT = F.when(F.col("hit"), 100.0 / 110.0).otherwise(-1.0)
+def profit():
+    return F.when(F.col("hit"), 100.0 / 110.0).otherwise(-1.0)
 
 
 @query("offer_outcomes", "WITH {history} SELECT okey, lnum, player, CASE WHEN actual > line THEN 'Over' WHEN actual < line THEN 'Under' ELSE 'Push' END AS result, count(*) AS n FROM history GROUP BY ALL")
@@ -42,13 +43,13 @@ def timeframes(t):
     rows = t.history.join(F.broadcast(last)).join(F.broadcast(tf), F.datediff("last", "day") < F.col("days"))
     hit = F.col("hit").cast("int")
     sets = rows.groupingSets([["timeframe"], ["timeframe", "league"], ["timeframe", "league", "market"]], "timeframe", "league", "market")
-    out = sets.agg(F.count("*").alias("n"), r(F.avg(hit)).alias("accuracy"), r(F.avg(F.pow(F.col("prob") - hit, 2))).alias("brier"), r(-F.avg(F.log(F.when(F.col("hit"), F.col("prob")).otherwise(1 - F.col("prob"))))).alias("logloss"), r(F.avg(PROFIT)).alias("roi"))
+    out = sets.agg(F.count("*").alias("n"), r(F.avg(hit)).alias("accuracy"), r(F.avg(F.pow(F.col("prob") - hit, 2))).alias("brier"), r(-F.avg(F.log(F.when(F.col("hit"), F.col("prob")).otherwise(1 - F.col("prob"))))).alias("logloss"), r(F.avg(profit())).alias("roi"))
     return out.select("timeframe", F.coalesce("league", F.lit("*")).alias("league"), F.coalesce("market", F.lit("*")).alias("market"), "n", "accuracy", "brier", "logloss", "roi")
 
 
 @query("daily_pnl", "WITH {history} SELECT CAST(day AS VARCHAR) AS day, league, market, count(*) AS n, round(avg(prob) + 1e-7, 4) AS prob, round(sum(CASE WHEN hit THEN 100.0 / 110.0 ELSE -1 END) + 1e-7, 4) AS profit FROM history GROUP BY ALL")
 def daily(t):
-    return t.history.groupBy(F.col("day").cast("string").alias("day"), "league", "market").agg(F.count("*").alias("n"), r(F.avg("prob")).alias("prob"), r(F.sum(PROFIT)).alias("profit"))
+    return t.history.groupBy(F.col("day").cast("string").alias("day"), "league", "market").agg(F.count("*").alias("n"), r(F.avg("prob")).alias("prob"), r(F.sum(profit())).alias("profit"))
 
 
 @query("calibration_bins", """WITH {history}, b AS (SELECT CAST(ceil((round(prob * 1000) - 400) / 50.0) - 1 AS BIGINT) AS bin, prob, hit FROM history), g AS (SELECT bin, avg(prob) AS p, avg(CAST(hit AS INTEGER)) AS y, count(*) AS n FROM b GROUP BY bin)
@@ -64,13 +65,13 @@ def calibration(t):
 @query("roi_thresholds", """WITH {history}, th(least) AS (VALUES (0.55), (0.6), (0.65), (0.7), (0.8)) SELECT CAST(least AS DOUBLE) AS least, league, count(*) AS n, round(avg(CASE WHEN hit THEN 100.0 / 110.0 ELSE -1 END) + 1e-7, 4) AS roi FROM history JOIN th ON prob >= least + 1e-9 GROUP BY ALL""")
 def thresholds(t):
     th = t.spark.createDataFrame([(0.55,), (0.6,), (0.65,), (0.7,), (0.8,)], "least double")
-    return t.history.join(F.broadcast(th), F.col("prob") >= F.col("least") + 1e-9).groupBy("least", "league").agg(F.count("*").alias("n"), r(F.avg(PROFIT)).alias("roi"))
+    return t.history.join(F.broadcast(th), F.col("prob") >= F.col("least") + 1e-9).groupBy("least", "league").agg(F.count("*").alias("n"), r(F.avg(profit())).alias("roi"))
 
 
 @query("record_summaries", """WITH {history}, m AS (SELECT league, strftime(day, '%Y-%m') AS month, count(*) FILTER (hit) AS wins, count(*) FILTER (NOT hit) AS losses, round(sum(CASE WHEN hit THEN 100.0 / 110.0 ELSE -1 END), 6) AS units FROM history WHERE prob > 0.6 GROUP BY ALL)
 SELECT market, sum(wins) AS wins FROM m, (SELECT 'x' AS market) GROUP BY market""".replace("SELECT market, sum(wins) AS wins FROM m, (SELECT 'x' AS market) GROUP BY market", "SELECT league, CAST(sum(wins) AS BIGINT) AS wins, CAST(sum(losses) AS BIGINT) AS losses, round(sum(units) + 1e-7, 4) AS units, arg_min(month, (units, month)) AS worst_month FROM m GROUP BY league"))
 def records(t):
-    m = t.history.where("prob > 0.6").groupBy("league", F.date_format("day", "yyyy-MM").alias("month")).agg(F.count_if("hit").alias("wins"), F.count_if(~F.col("hit")).alias("losses"), F.round(F.sum(PROFIT), 6).alias("units"))
+    m = t.history.where("prob > 0.6").groupBy("league", F.date_format("day", "yyyy-MM").alias("month")).agg(F.count_if("hit").alias("wins"), F.count_if(~F.col("hit")).alias("losses"), F.round(F.sum(profit()), 6).alias("units"))
     return m.groupBy("league").agg(F.sum("wins").alias("wins"), F.sum("losses").alias("losses"), r(F.sum("units")).alias("units"), F.min_by("month", F.struct("units", "month")).alias("worst_month"))
 
 

@@ -12,13 +12,18 @@ from sabermill.operators.asof import as_of, asof_join, latest_per_key, snapshot_
 from sabermill.plans.base import half_weight, query
 
 CUT = datetime.datetime(1996, 6, 1)
-LATEST = [F.desc("observed_at"), F.desc_nulls_last("line"), F.desc_nulls_last("under_prob"), F.desc_nulls_last("ev"), F.desc("okey"), F.desc("lnum"), F.desc("tax")]
+
+
+def latest_order():
+    return [F.desc("observed_at"), F.desc_nulls_last("line"), F.desc_nulls_last("under_prob"), F.desc_nulls_last("ev"), F.desc("okey"), F.desc("lnum"), F.desc("tax")]
+
+
 LATEST_SQL = "ORDER BY observed_at DESC, line DESC NULLS LAST, under_prob DESC NULLS LAST, ev DESC NULLS LAST, okey DESC, lnum DESC, tax DESC"
 
 
 @query("asof_latest_per_book", f"WITH {{quotes}} SELECT entity, book, ev, line, under_prob, observed_at FROM quotes WHERE observed_at <= TIMESTAMP '1996-06-01' QUALIFY row_number() OVER (PARTITION BY entity, book {LATEST_SQL}) = 1")
 def latest_book(t):
-    return latest_per_key(as_of(t.quotes, "observed_at", CUT), ["entity", "book"], LATEST).select("entity", "book", "ev", "line", "under_prob", "observed_at")
+    return latest_per_key(as_of(t.quotes, "observed_at", CUT), ["entity", "book"], latest_order()).select("entity", "book", "ev", "line", "under_prob", "observed_at")
 
 
 @query("book_weighted_consensus", f"""WITH {{quotes}}, last AS (SELECT * FROM quotes WHERE observed_at <= TIMESTAMP '1996-06-01' QUALIFY row_number() OVER (PARTITION BY entity, book {LATEST_SQL}) = 1),
@@ -26,7 +31,7 @@ m AS (SELECT entity, sum(ev * pow(2.0, book % 4)) / sum(pow(2.0, book % 4)) AS e
 l AS (SELECT entity, floor(2 * median(line)) / 2 AS line FROM (SELECT DISTINCT entity, line FROM last) GROUP BY entity)
 SELECT entity, round(ev + 1e-7, 4) AS ev, books, CAST(line AS DOUBLE) AS line FROM m JOIN l USING (entity)""")
 def book_weighted_consensus(t):
-    last = latest_per_key(as_of(t.quotes, "observed_at", CUT), ["entity", "book"], LATEST)
+    last = latest_per_key(as_of(t.quotes, "observed_at", CUT), ["entity", "book"], latest_order())
     mean = last.groupBy("entity").agg(r(weighted_mean(F.col("ev"), half_weight("book"))).alias("ev"), F.count("*").alias("books"))
     return mean.join(consensus_line(last, ["entity"], "line"), "entity")
 
@@ -99,7 +104,7 @@ def entities(t):
 @query("closing_line", f"""WITH {{quotes}}, last AS (SELECT * FROM quotes QUALIFY row_number() OVER (PARTITION BY entity, book {LATEST_SQL}) = 1)
 SELECT entity, CAST(floor(2 * median(line)) / 2 AS DOUBLE) AS line, round(avg(1 - under_prob) + 1e-7, 4) AS over_prob, max(observed_at) AS observed_at, count(DISTINCT book) AS books FROM last GROUP BY entity""")
 def closing(t):
-    last = latest_per_key(t.quotes, ["entity", "book"], LATEST)
+    last = latest_per_key(t.quotes, ["entity", "book"], latest_order())
     return last.groupBy("entity").agg((F.floor(2 * F.median("line")) / 2).cast("double").alias("line"), r(F.avg(1 - F.col("under_prob"))).alias("over_prob"), F.max("observed_at").alias("observed_at"), F.countDistinct("book").alias("books"))
 
 
