@@ -155,8 +155,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 3, distance:
 
 
 #: Words of 64 bits of a wide fingerprint; its blocks have BLOCK bits.
-WIDE, BLOCK = 4, 16
-_SALTS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+WIDE, BLOCK = 8, 16
+_SALTS = [np.uint64(k * 0x9E3779B97F4A7C15 % 2**64) for k in range(WIDE)]
 
 
 def bits_for(similarity: float) -> int:
@@ -164,14 +164,25 @@ def bits_for(similarity: float) -> int:
     return int(64 * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def _distinct(hashes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's hashes, every one once, as similarity is one of sets."""
+    doc = np.repeat(np.arange(len(before) - 1), np.diff(before))
+    order = np.lexsort((hashes, doc))
+    hashes = hashes[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+    return hashes[new], np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=len(before) - 1))])
+
+
 def wide_fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, f0 .. f3): 256-bit SimHash and number of shingles of each whole text that has words."""
+    """(id, n, f0 .. f7): 512-bit SimHash and number of the distinct shingles of each whole text that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = utf8(batch.column(1))
             for a, b in slices(offs, 1 << 20):
                 hashes, before, _ = shingle_hashes(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], words)
+                hashes, before = _distinct(hashes, before)
                 some = np.flatnonzero(np.diff(before))
                 prints = [fingerprint(mix64(hashes ^ salt) if salt else hashes, before)[some] for salt in _SALTS]
                 ids = batch.column(0).slice(a, b - a).take(pa.array(some))
@@ -197,29 +208,40 @@ def _wide_star(prints: np.ndarray, reps: np.ndarray, limit: int) -> list[tuple[i
     return out
 
 
-def _wide_links(limit: int):
+def _wide_links(limit: int, most: int | None):
+    """mapInArrow over rows (t, key, s, rep, words) sorted by the first three: spanning links within each band s of a block key and between it and the next band.
+
+    At most two bands and one batch are held. Two bands of over ``most`` rows together are left to the rows that are dealt out.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def linked(rows: list[np.ndarray]) -> pa.RecordBatch:
-            cut = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
-            at, to = np.concatenate([[0], cut]), np.concatenate([cut, [len(rows[0])]])
-            prints = np.stack(rows[3:], axis=1).view(np.uint64)
-            links = [x for a, b in zip(at, to) if b - a > 1 for x in _wide_star(prints[a:b], rows[2][a:b], limit)]
-            links = sorted(set(links))
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+        def linked(rows: list[np.ndarray], edges: list[int], complete: int) -> pa.RecordBatch:
+            prints, links = np.stack(rows[4:], axis=1).view(np.uint64), set()
+            for i in range(complete):
+                at, to = edges[i], edges[i + 1]
+                if i + 1 < complete and rows[0][at] == rows[0][to] and rows[1][at] == rows[1][to] and rows[2][at] + 1 == rows[2][to]:
+                    to = edges[i + 2]
+                if to - at > 1 and (most is None or to - at <= most):
+                    links.update(_wide_star(prints[at:to], rows[3][at:to], limit))
+            found = sorted(links)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
             if batch.num_rows:
                 new = [np.asarray(batch.column(i)) for i in range(batch.num_columns)]
                 rows = [np.concatenate(x) for x in zip(held, new)] if held else new
-                last = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
-                cut = last[-1] + 1 if len(last) else 0
-                if cut:
-                    yield linked([x[:cut] for x in rows])
-                held = [x[cut:] for x in rows]
+                cut = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0) | (np.diff(rows[2]) != 0)) + 1
+                edges = [0, *cut.tolist(), len(rows[0])]
+                if len(edges) > 3:  # the last band may go on, and the one before may meet it
+                    yield linked(rows, edges, len(edges) - 2)
+                    rows = [x[edges[-3] :] for x in rows]
+                held = rows
         if held:
-            yield linked(held)
+            cut = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0) | (np.diff(held[2]) != 0)) + 1
+            edges = [0, *cut.tolist(), len(held[0])]
+            yield linked(held, edges, len(edges) - 1)
 
     return run
 
@@ -227,10 +249,10 @@ def _wide_links(limit: int):
 def near_copies(docs: DataFrame, scratch: Scratch, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component) of texts with words: near copies, of about ``similarity`` in their ``words``-word shingles or more, share the smallest id reachable.
 
-    Fingerprints of 256 bits are split into 16 blocks; texts that share a block, and whose numbers of shingles allow the similarity, are compared by the Hamming distance that the
-    similarity makes likely. A pair of up to 15 differing bits shares a block for certain; at similarity 0.9 all but about one pair in 20, and copies of a copy are found through each other.
-    Equal fingerprints are one vertex. A bucket of over BUCKET vertices is dealt out as pairs of parts, so no task holds more, and every pair of the bucket still meets.
-    Null ids and texts without words take no part. Repeated ids are one vertex each.
+    Fingerprints of 512 bits are split into 32 blocks; texts that share a block, and whose numbers of distinct shingles allow the similarity, are compared by the Hamming distance that the
+    similarity makes likely. A pair of up to 31 differing bits shares a block for certain; of pairs at similarity 0.8 about one in ten shares none, at 0.9 one in 400.
+    Numbers of shingles fall into bands as wide as the similarity, so partners stand in the same or the next band. Equal fingerprints are one vertex. Two bands of a block's value that
+    hold over BUCKET vertices are dealt out as pairs of parts, so no task holds more, and every pair still meets. Null ids and texts without words take no part. Repeated ids are one vertex each.
     """
     limit = bits_for(similarity)
     cols = [f"f{k}" for k in range(WIDE)]
@@ -238,19 +260,29 @@ def near_copies(docs: DataFrame, scratch: Scratch, words: int = 5, similarity: f
     reps = scratch.write(fps.groupBy(*cols).agg(F.min("id").alias("rep"), F.min("n").alias("n")), "reps")
     size = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / similarity) + F.lit(1e-9)).cast("long")
     per = 64 // BLOCK
-    blocks = [F.struct(F.lit(i).alias("t"), F.shiftrightunsigned(cols[i // per], BLOCK * (i % per)).bitwiseAND(F.lit((1 << BLOCK) - 1)).alias("v")) for i in range(WIDE * per)]
-    keyed = reps.withColumn("s", size).select(F.explode(F.array(*blocks)).alias("k"), "s", "rep", *cols)
-    keyed = keyed.select(F.col("k.t").alias("t"), F.col("k.v").alias("v"), F.explode(F.array(F.col("s"), F.col("s") + 1)).alias("s"), "rep", *cols)
-    keyed = keyed.select("t", ((F.col("s") * (1 << BLOCK) + F.col("v")) * 4096).alias("key"), "rep", *cols)
-    hot = scratch.write(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(f"n > {BUCKET}"), "hot")
-    if not hot.isEmpty():
-        parts = F.least(F.ceil(F.col("n") * 2 / BUCKET), F.lit(62)).cast("int")
-        dealt = keyed.join(hot.select("t", "key", parts.alias("p")), ["t", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("p")).cast("int"))
-        dealt = dealt.select("t", "key", "own", F.explode(F.expr("sequence(0, p - 1)")).alias("other"), "rep", *cols)
-        dealt = dealt.select("t", (F.col("key") + 1 + F.least("own", "other") * 64 + F.greatest("own", "other")).alias("key"), "rep", *cols)
-        keyed = keyed.join(hot, ["t", "key"], "left_anti").unionByName(dealt)
+    blocks = [F.struct(F.lit(i).alias("t"), F.shiftrightunsigned(cols[i // per], BLOCK * (i % per)).bitwiseAND(F.lit((1 << BLOCK) - 1)).alias("key")) for i in range(WIDE * per)]
+    keyed = reps.withColumn("s", size).select(F.explode(F.array(*blocks)).alias("k"), "s", "rep", *cols).select("k.t", "k.key", "s", "rep", *cols)
+    bands = keyed.groupBy("t", "key", "s").agg(F.count("*").alias("n")).where("n > 1")
+    two = bands.where(f"n * 2 >= {BUCKET}")  # of two bands over BUCKET, one has over half
+    two = two.select("t", "key", F.explode(F.array("s", F.col("s") - 1)).alias("low")).distinct()
+    sizes = two.join(bands.select("t", "key", F.explode(F.array("s", F.col("s") - 1)).alias("low"), "n"), ["t", "key", "low"]).groupBy("t", "key", "low").agg(F.sum("n").alias("n"))
+    hot = scratch.write(sizes.where(f"n >= {BUCKET}"), "hot")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = keyed.repartition(n, "t", "key").sortWithinPartitions("t", "key").mapInArrow(_wide_links(limit), "a long, b long")
+
+    def linked(rows: DataFrame, most: int | None = None) -> DataFrame:
+        return rows.select("t", "key", "s", "rep", *cols).repartition(n, "t", "key").sortWithinPartitions("t", "key", "s").mapInArrow(_wide_links(limit, most), "a long, b long")
+
+    if hot.isEmpty():
+        links = linked(keyed, BUCKET)
+    else:
+        parts = F.least(F.ceil(F.col("n") * 2 / BUCKET), F.lit(62)).cast("int")
+        both = keyed.select("t", "key", F.explode(F.array("s", F.col("s") - 1)).alias("low"), "rep", *cols)
+        dealt = both.join(hot.select("t", "key", "low", parts.alias("p")), ["t", "key", "low"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("p")).cast("int"))
+        dealt = dealt.select("t", "key", "low", "own", F.explode(F.expr("sequence(0, p - 1)")).alias("other"), "rep", *cols)
+        dealt = dealt.select("t", (((F.col("low") + 1) * (1 << BLOCK) + F.col("key")) * 4096 + F.least("own", "other") * 64 + F.greatest("own", "other")).alias("key"), F.lit(0).cast("long").alias("s"), "rep", *cols)
+        full = hot.groupBy("t", "key").agg(F.collect_set("low").alias("lows"))
+        cool = keyed.join(full, ["t", "key"], "left").where("lows IS NULL OR NOT (array_contains(lows, s) AND array_contains(lows, s - 1))").drop("lows")
+        links = linked(cool, BUCKET).union(linked(dealt))
     comps = connected_components(links, scratch).withColumnRenamed("node", "rep")
     classes = reps.join(comps, "rep", "left").select(*cols, F.coalesce("component", "rep").alias("component"))
     return fps.join(classes, cols).select("id", "component")
