@@ -208,10 +208,10 @@ def _wide_star(prints: np.ndarray, reps: np.ndarray, limit: int) -> list[tuple[i
     return out
 
 
-def _wide_links(limit: int, most: int | None):
+def _wide_links(limit: int):
     """mapInArrow over rows (t, key, s, rep, words) sorted by the first three: spanning links within each band s of a block key and between it and the next band.
 
-    At most two bands and one batch are held. Two bands of over ``most`` rows together are left to the rows that are dealt out.
+    At most two bands and one batch are held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +223,7 @@ def _wide_links(limit: int, most: int | None):
                 at, to = edges[i], edges[i + 1]
                 if i + 1 < complete and rows[0][at] == rows[0][to] and rows[1][at] == rows[1][to] and rows[2][at] + 1 == rows[2][to]:
                     to = edges[i + 2]
-                if to - at > 1 and (most is None or to - at <= most):
+                if to - at > 1:
                     links.update(_wide_star(prints[at:to], rows[3][at:to], limit))
             found = sorted(links)
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
@@ -251,8 +251,8 @@ def near_copies(docs: DataFrame, scratch: Scratch, words: int = 5, similarity: f
 
     Fingerprints of 512 bits are split into 32 blocks; texts that share a block, and whose numbers of distinct shingles allow the similarity, are compared by the Hamming distance that the
     similarity makes likely. A pair of up to 31 differing bits shares a block for certain; of pairs at similarity 0.8 about one in ten shares none, at 0.9 one in 400.
-    Numbers of shingles fall into bands as wide as the similarity, so partners stand in the same or the next band. Equal fingerprints are one vertex. Two bands of a block's value that
-    hold over BUCKET vertices are dealt out as pairs of parts, so no task holds more, and every pair still meets. Null ids and texts without words take no part. Repeated ids are one vertex each.
+    Numbers of shingles fall into bands as wide as the similarity, so partners stand in the same or the next band. Equal fingerprints are one vertex. A band of a block's value that
+    holds BUCKET / 2 vertices or more is dealt out with its neighbours as pairs of parts, so no task holds it whole, and every pair still meets. Null ids and texts without words take no part. Repeated ids are one vertex each.
     """
     limit = bits_for(similarity)
     cols = [f"f{k}" for k in range(WIDE)]
@@ -262,27 +262,23 @@ def near_copies(docs: DataFrame, scratch: Scratch, words: int = 5, similarity: f
     per = 64 // BLOCK
     blocks = [F.struct(F.lit(i).alias("t"), F.shiftrightunsigned(cols[i // per], BLOCK * (i % per)).bitwiseAND(F.lit((1 << BLOCK) - 1)).alias("key")) for i in range(WIDE * per)]
     keyed = reps.withColumn("s", size).select(F.explode(F.array(*blocks)).alias("k"), "s", "rep", *cols).select("k.t", "k.key", "s", "rep", *cols)
-    bands = keyed.groupBy("t", "key", "s").agg(F.count("*").alias("n")).where("n > 1")
-    two = bands.where(f"n * 2 >= {BUCKET}")  # of two bands over BUCKET, one has over half
-    two = two.select("t", "key", F.explode(F.array("s", F.col("s") - 1)).alias("low")).distinct()
-    sizes = two.join(bands.select("t", "key", F.explode(F.array("s", F.col("s") - 1)).alias("low"), "n"), ["t", "key", "low"]).groupBy("t", "key", "low").agg(F.sum("n").alias("n"))
-    hot = scratch.write(sizes.where(f"n >= {BUCKET}"), "hot")
+    big = scratch.write(keyed.groupBy("t", "key", "s").agg(F.count("*").alias("n")).where(f"n * 2 >= {BUCKET}"), "hot")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def linked(rows: DataFrame, most: int | None = None) -> DataFrame:
-        return rows.select("t", "key", "s", "rep", *cols).repartition(n, "t", "key").sortWithinPartitions("t", "key", "s").mapInArrow(_wide_links(limit, most), "a long, b long")
+    def linked(rows: DataFrame) -> DataFrame:
+        return rows.select("t", "key", "s", "rep", *cols).repartition(n, "t", "key").sortWithinPartitions("t", "key", "s").mapInArrow(_wide_links(limit), "a long, b long")
 
-    if hot.isEmpty():
-        links = linked(keyed, BUCKET)
+    if big.isEmpty():
+        links = linked(keyed)
     else:
-        parts = F.least(F.ceil(F.col("n") * 2 / BUCKET), F.lit(62)).cast("int")
-        both = keyed.select("t", "key", F.explode(F.array("s", F.col("s") - 1)).alias("low"), "rep", *cols)
+        hot = big.select("t", "key", F.explode(F.array("s", F.col("s") - 1)).alias("low"), "n").groupBy("t", "key", "low").agg(F.sum("n").alias("n"))
+        parts = F.least(F.ceil((F.col("n") * 2 + BUCKET) / BUCKET), F.lit(62)).cast("int")
+        near = big.select("t", "key", F.explode(F.array("s", F.col("s") - 1, F.col("s") + 1)).alias("s")).distinct()
+        both = keyed.join(near, ["t", "key", "s"], "left_semi").select("t", "key", F.explode(F.array("s", F.col("s") - 1)).alias("low"), "rep", *cols)
         dealt = both.join(hot.select("t", "key", "low", parts.alias("p")), ["t", "key", "low"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("p")).cast("int"))
         dealt = dealt.select("t", "key", "low", "own", F.explode(F.expr("sequence(0, p - 1)")).alias("other"), "rep", *cols)
         dealt = dealt.select("t", (((F.col("low") + 1) * (1 << BLOCK) + F.col("key")) * 4096 + F.least("own", "other") * 64 + F.greatest("own", "other")).alias("key"), F.lit(0).cast("long").alias("s"), "rep", *cols)
-        full = hot.groupBy("t", "key").agg(F.collect_set("low").alias("lows"))
-        cool = keyed.join(full, ["t", "key"], "left").where("lows IS NULL OR NOT (array_contains(lows, s) AND array_contains(lows, s - 1))").drop("lows")
-        links = linked(cool, BUCKET).union(linked(dealt))
+        links = linked(keyed.join(big, ["t", "key", "s"], "left_anti")).union(linked(dealt))
     comps = connected_components(links, scratch).withColumnRenamed("node", "rep")
     classes = reps.join(comps, "rep", "left").select(*cols, F.coalesce("component", "rep").alias("component"))
     return fps.join(classes, cols).select("id", "component")
