@@ -157,13 +157,15 @@ def train(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: s
     return fit({k: [t for _, t in sorted(v)[:SAMPLE_DOCS]] for k, v in texts.items()}, prior)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: (id, lang_pred, score, bits_per_byte) from its whole text alone.
 
     ``score``: the posterior of the language from code lengths and the learned shares of languages. Null texts and texts without a letter: 'und', score 0.
-    Ties go to the language first in code point order. Repeated rows keep a row each. One pass without a shuffle; the broadcast model's size is bounded by CLASSES,
+    Without a model, as nothing was labelled, every row is 'und'. Ties go to the language first in code point order. Repeated rows keep a row each. One pass without a shuffle; the broadcast model's size is bounded by CLASSES,
     CONTEXTS and LANGUAGES.
     """
+    if model is None:
+        return docs.select(F.col(id_col), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -49,3 +49,11 @@ def test_contexts_sum_to_one_and_code_lengths_add_up():
             bits += model.bits[model.rows[code] * a + model.classes[byte]]
             history.append(int(model.classes[byte]))
         assert whole[i] == pytest.approx(bits, rel=1e-5)
+
+
+def test_nothing_labelled(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, None, "en")], "doc_id long, text string, lang string")
+    for rows, want in ((docs, [(1, "und", 0.0), (2, "und", 0.0)]), (docs.where("false"), [])):
+        model = langid.train(rows, F.lit(True))
+        assert model is None
+        assert sorted(tuple(r)[:3] for r in langid.identify(rows, model).collect()) == want
