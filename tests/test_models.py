@@ -2,9 +2,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sabermill.functions import distributions as d
-from sabermill.operators import search
+from sabermill.operators import resolution, search
 from sabermill.sources.tables import read_ledger, read_parquet_safe, replace_table
 from sabermill.streaming.quotes import drain, latest, read_quotes
 
@@ -41,3 +42,16 @@ def test_stream_equals_batch(spark, tmp_path):
     drain(latest(read_quotes(spark, f"{tmp_path}/q"), ["k"], "t", ["v"]), "latest_quotes", f"{tmp_path}/c")
     got = sorted(map(tuple, spark.table("latest_quotes").collect()))
     assert got == [(k, 95 + k, float((95 + k) * 7 % 11)) for k in range(5)]
+
+
+def test_resolve_quote_cascade(spark):
+    rows = [("a", 1.5, 0.4, 9.0, 1), ("a", 1.5, 0.6, 9.0, 2), ("a", 2.5, 0.5, 9.0, 3), ("b", None, 0.5, 4.0, 1), ("b", 3.5, 1.0, 8.0, 1), ("c", None, None, 5000.0, 1), ("d", 1.0, 0.5, 1.0, 1), ("d", 3.0, 0.5, 1.0, 1)]
+    quotes = spark.createDataFrame(rows, "k string, line double, under_prob double, ev double, observed_at long")
+    got = {r.k: (r.line, r.under, r.ev, r.books, r.source) for r in resolution.resolve_quote(quotes, "k", F.lit(1.0)).collect()}
+    assert got == {"a": (1.5, 0.5, None, 2, "modal"), "b": (None, 0.5, 6.0, 0, "ev"), "c": (None, 0.5, None, 0, "neutral"), "d": (1.0, 0.5, None, 1, "modal")}
+
+
+def test_bootstrap_covers_the_mean(spark):
+    rows = spark.range(4000).selectExpr("id", "id % 2 AS cell", "cast(id % 100 AS double) AS x")
+    for row in resolution.poisson_bootstrap(rows, ["cell"], "x", ["id"]).collect():
+        assert row.low < row.mean < row.high and row.high - row.low == pytest.approx(2 * 1.96 * 28.9 / math.sqrt(2000), rel=0.3)
