@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sabermill.functions import distributions as dist
+from sabermill.functions.names import normalised
 from sabermill.operators import search
 from sabermill.plans.base import query
 
@@ -54,3 +55,19 @@ def kelly(t):
 def simulation(t):
     rows = t.events.select((F.col("user_id") % 20).alias("run"), F.col("ts").cast("date").alias("day"), (F.col("value") / 200 + 0.25).alias("prob"), F.lit(1.0).alias("payout"))
     return search.simulate(rows, "run", "day", "prob", "payout")
+
+
+@query("under_other_families")
+def other_families(t):
+    line, mean = F.col("l_quantity") / 2, F.col("l_extendedprice") / 2500 + 1
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", line.alias("line"), mean.alias("mean"))
+    skew = dist.skew_normal_under("line", "mean", F.sqrt("mean"), F.lit(2.0))
+    double = dist.under_prob(F.lit("doublepoisson"), "line", "mean", F.lit(0.8))
+    rows = rows.withColumns({"skew": skew, "double": double})
+    mixed = dist.mixture([(F.lit(0.3), F.col("skew")), (F.lit(0.7), F.col("double"))])
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", *[F.round(c, 6).alias(n) for n, c in (("skew", F.col("skew")), ("double", F.col("double")), ("inflated", dist.zero_inflated(F.col("double"), F.lit(0.1), F.col("line"))), ("mixed", mixed))])
+
+
+@query("normalised_names")
+def names(t):
+    return t.customer.select("c_custkey", normalised(F.concat("c_name", F.lit(" Jr. (X)")), {"Customer#000000001": "First"}).alias("name"))

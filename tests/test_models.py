@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sabermill.functions import distributions as d
+from sabermill.functions.names import plain_name
 from sabermill.operators import resolution, search
 from sabermill.sources.tables import read_ledger, read_parquet_safe, replace_table
 from sabermill.streaming.quotes import drain, latest, read_quotes
@@ -55,3 +56,22 @@ def test_bootstrap_covers_the_mean(spark):
     rows = spark.range(4000).selectExpr("id", "id % 2 AS cell", "cast(id % 100 AS double) AS x")
     for row in resolution.poisson_bootstrap(rows, ["cell"], "x", ["id"]).collect():
         assert row.low < row.mean < row.high and row.high - row.low == pytest.approx(2 * 1.96 * 28.9 / math.sqrt(2000), rel=0.3)
+
+
+def test_further_families():
+    mean, phi = np.array([2.5, 4.0]), np.array([1.0, 0.6])
+    assert d.double_poisson_cdf(np.array([3.0, 0.0]), mean, phi)[0] == pytest.approx(0.757576, abs=1e-6)  # precision 1: Poisson
+    tail = sum(1 - d.double_poisson_cdf(np.array([float(k)] * 2), mean, phi) for k in range(60))
+    assert tail == pytest.approx([2.5, 4.0], abs=1e-6)
+    x = np.linspace(-6, 14, 4001)
+    same = lambda v: np.full(len(x), v)
+    cdf = d.skew_normal_cdf(x, same(2.0), same(1.5), same(3.0))
+    pdf = np.gradient(cdf, x)
+    at = float((pdf * x).sum() * (x[1] - x[0]))
+    assert at == pytest.approx(2.0, abs=1e-3) and float((pdf * (x - at) ** 2).sum() * (x[1] - x[0])) == pytest.approx(2.25, abs=1e-2)
+    assert d.skew_normal_cdf(x, same(2.0), same(1.5), same(0.0)) == pytest.approx(d.normal_cdf(x, same(2.0), same(1.5)))
+
+
+def test_names():
+    given = {"José Ramírez Jr.": "Jose Ramirez", "D.J. O\u2019neal [NYK]": "Dj O'Neal", "a b + c d": "A B + See Dee", "x y III": "X Y", None: "", "Sam Irwin": "Sam Irwin"}
+    assert {k: plain_name(k, {"C D": "See Dee"}) for k in given} == given
