@@ -22,7 +22,8 @@ from sabermill.llm.rows import keep_rows
 ORDER = 3
 #: The fit: so many documents of each language (smallest hash of their id first), so many bytes of each, so many languages (most frequent first).
 SAMPLE_DOCS, SAMPLE_BYTES, LANGUAGES = 400, 16_384, 64
-#: The model's size: distinct byte classes (rarer bytes share one) and contexts of the highest orders (rarer ones use the next shorter).
+#: The model's size: distinct byte classes (rarer bytes share one) and contexts of the highest orders (rarer ones use the next shorter);
+#: beyond four languages the contexts are fewer in proportion, so that the table keeps its size.
 CLASSES, CONTEXTS = 128, 12_000
 
 _LETTER = regex.compile(r"\p{L}")
@@ -42,6 +43,7 @@ class Model:
 def fit(texts: dict[str, list[bytes]], prior: dict[str, int]) -> Model:
     """Counts the context trees of each language; ``prior``: documents by language."""
     languages = sorted(texts)
+    most = CONTEXTS * 4 // max(len(languages), 4)
     seen = np.zeros(256, np.int64)
     for t in (t for own in texts.values() for t in own):
         seen += np.bincount(np.frombuffer(t, np.uint8), minlength=256)
@@ -76,7 +78,7 @@ def fit(texts: dict[str, list[bytes]], prior: dict[str, int]) -> Model:
             u, inv = np.unique(ctx, return_inverse=True)
             for c, m in zip(u.tolist(), np.bincount(inv, n, len(u)).tolist()):
                 total[c] = total.get(c, 0) + m
-        kept = np.array(sorted(sorted(total, key=lambda c: (-total[c], c))[:CONTEXTS]), np.int64)
+        kept = np.array(sorted(sorted(total, key=lambda c: (-total[c], c))[:most]), np.int64)
         if k == 0:
             lower, kept = np.repeat((weight / 256)[None, :, None], len(languages), axis=2), np.zeros(1, np.int64)
             rows = np.zeros(1, np.int64)
