@@ -1,12 +1,15 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by repeated passages, and by content-defined chunks of lines.
 
-Lines are hashed; a rolling hash over each line and the one before puts a boundary after about every ``LINES``-th line, so the same passage is cut alike wherever
-it stands. Chunks of two or more non-blank lines that an earlier document has, byte for byte, are removed.
+``passage_dedup`` looks at every two neighbouring non-blank lines, with the blank ones between them: a passage of two or more non-blank lines is the union of such pairs, so
+each line of one that an earlier document has, byte for byte, is removed wherever the passage begins and ends.
+
+``line_dedup`` only looks at chunks: a rolling hash over each line and the one before puts a boundary after about every ``LINES``-th line, so the same passage is cut alike wherever
+it stands. Chunks of two or more non-blank lines are compared; shorter ones, and those at a passage's ends, stay.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,8 @@ from sabermill.llm.shared import Scratch
 
 #: A boundary follows a line with chance 1 / LINES, and every MOST lines in any case.
 LINES, MOST = 3, 64
+#: Rows that a task takes up at a time, and bytes of passages that it gathers before it hands them on.
+ROWS, FLUSH = 256, 4 << 20
 
 
 def chunks(text: bytes) -> list[tuple[int, int, int, int]]:
@@ -45,6 +50,19 @@ def chunks(text: bytes) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def pairs(text: bytes) -> list[tuple[int, int, int, int]]:
+    """(start, end, lines, hash) of each two neighbouring non-blank lines, blank lines between them included."""
+    out, at, before = [], 0, None
+    for i, p in enumerate(text.split(b"\n")):
+        if p and not p.isspace():
+            if before is not None:
+                a, first = before
+                out.append((a, at + len(p), i + 1 - first, xxhash.xxh64_intdigest(text[a : at + len(p)]) or 1))
+            before = at, i
+        at += len(p) + 1
+    return out
+
+
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
@@ -57,33 +75,59 @@ def line_dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     repeats inside themselves. All columns are carried whatever their names. Hashes alone are grouped, map-side first; the bytes of chunks whose hash
     several documents have are then compared by a join in which AQE splits hot hashes.
     """
+    return _dedup(docs, scratch, id_col, text_col, chunks, _cut)
+
+
+def passage_dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Like ``line_dedup``, but each line goes that stands in a passage of two or more non-blank lines which a document with a smaller id has, or which ended earlier in the same text.
+
+    removed_chunks counts the runs of lines that go. Of each line that goes, an equal one stays in a smaller document or further up.
+    """
+    return _dedup(docs, scratch, id_col, text_col, pairs, _cut_passages)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(lo, ROWS) for batch in batches for lo in range(0, batch.num_rows, ROWS))
+
+
+def _dedup(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, units: Callable[[bytes], list[tuple[int, int, int, int]]], cut_text: Callable[[str, set[int]], tuple[str, int, int, int]]) -> DataFrame:
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
     rows = plain.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             ids, hashes = [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = {h for _, _, _, h in chunks(t.encode()) if h}
+                found = {h for _, _, _, h in units(t.encode()) if h}
                 ids += [i] * len(found)
                 hashes += map(_signed, sorted(found))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64())], ["id", "hash"])
+        release()
 
     found = scratch.write(rows.where("id IS NOT NULL AND instr(text, '\n') > 0").mapInArrow(own, "id long, hash long"), "chunks")
     repeated = found.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("hash", "first")
     wanted = found.join(repeated, "hash").groupBy("id").agg(F.collect_set(F.struct("hash", "first")).alias("wanted"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        def taken(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["id", "hash", "first", "bytes"])
+
+        for batch in _parts(batches):
             out: list[tuple] = []
+            size = 0
             for i, t, wants in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 first, raw = {w["hash"]: w["first"] for w in wants}, t.encode()
-                for a, b, _, h in chunks(raw):
+                for a, b, _, h in units(raw):
                     if h and (s := _signed(h)) in first:
                         out.append((i, s, first.pop(s), raw[a:b]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["id", "hash", "first", "bytes"])
+                        size += b - a
+                        if size > FLUSH:
+                            yield taken(out)
+                            out, size = [], 0
+            yield taken(out)
+        release()
 
     held = scratch.write(rows.join(wanted, "id").select("id", "text", "wanted").mapInArrow(texts, "id long, hash long, first long, bytes binary"), "bytes")
     later, first = held.where("id <> first").alias("l"), held.where("id = first").alias("f")
@@ -95,10 +139,10 @@ def line_dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             kept, counts = [], []
             for t, gone in zip(batch.column(at).to_pylist(), batch.column(len(cols)).to_pylist()):
-                kept.append(None if t is None else (done := _cut(t, set(gone or ())))[0])
+                kept.append(None if t is None else (done := cut_text(t, set(gone or ())))[0])
                 counts.append((0, 0, 0) if t is None else done[1:])
             arrays = [batch.column(i) if i != at else pa.array(kept, pa.string()) for i in range(len(cols))]
             yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3))], [*cols, "removed_chunks", "removed_lines", "total_lines"])
@@ -122,3 +166,24 @@ def _cut(text: str, gone: set[int]) -> tuple[str, int, int, int]:
             if h:
                 seen.setdefault(h, []).append(raw[a:b])
     return b"\n".join(keep).decode(), chunks_gone, lines_gone, total
+
+
+def _cut_passages(text: str, gone: set[int]) -> tuple[str, int, int, int]:
+    raw, seen = text.encode(), {}
+    parts = raw.split(b"\n")
+    drop, line, at = bytearray(len(parts)), 0, 0
+    for a, b, lines, h in pairs(raw):
+        while at < a:
+            at += len(parts[line]) + 1
+            line += 1
+        if _signed(h) not in gone:
+            first = next((e for s, e in seen.get(h, ()) if raw[s:e] == raw[a:b]), None)
+            if first is None:
+                seen.setdefault(h, []).append((a, b))
+            if first is None or first > a:
+                continue
+        drop[line : line + lines] = b"\1" * lines
+    if not any(drop):
+        return text, 0, 0, len(parts)
+    kept = b"\n".join(p for p, d in zip(parts, drop) if not d).decode()
+    return kept, drop.count(b"\0\1") + drop[0], sum(drop), len(parts)
