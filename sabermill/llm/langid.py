@@ -3,7 +3,8 @@
 For each language a context tree of orders 0 to ``ORDER`` is counted on a bounded sample of labelled texts and then frozen: in a context seen n times with q
 distinct successors, a successor seen c times has probability c / (n + q), and the escape probability q / (n + q) is shared by the unseen bytes in proportion to their
 probability in the context that is one byte shorter; under order 0 lie equal chances for all 256 bytes. So every context's probabilities sum to one, and a text's code length under
-a language is an exact sum of logarithms. The trees are laid out as one table (context, byte, language), so that scoring is a table look-up per byte.
+a language is an exact sum of logarithms. The trees are laid out as one table (context, byte, language), so that scoring is a table look-up per byte. Every labelled language is
+learned: beyond ``GROUP`` languages there is one table for each group of them, and texts are scored by one table after the other.
 """
 
 from __future__ import annotations
@@ -14,17 +15,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sabermill.llm.kernels import slices, utf8
 from sabermill.llm.rows import keep_rows
 
 ORDER = 3
-#: The fit: so many documents of each language (smallest hash of their id first), so many bytes of each, so many languages (most frequent first).
-SAMPLE_DOCS, SAMPLE_BYTES, LANGUAGES = 400, 16_384, 64
-#: The model's size: distinct byte classes (rarer bytes share one) and contexts of the highest orders (rarer ones use the next shorter);
-#: beyond four languages the contexts are fewer in proportion, so that the table keeps its size.
-CLASSES, CONTEXTS = 128, 12_000
+#: The fit: so many documents of each language (smallest hash of their id first), so many bytes of each.
+SAMPLE_DOCS, SAMPLE_BYTES = 400, 16_384
+#: A table's size: distinct byte classes (rarer bytes share one), contexts of the highest orders (rarer ones use the next shorter) and languages.
+CLASSES, CONTEXTS, GROUP = 128, 12_000, 4
 
 _LETTER = regex.compile(r"\p{L}")
 _ASCII_LETTER = np.zeros(256, bool)
@@ -40,10 +41,28 @@ class Model:
     prior: np.ndarray  # bits of each language
 
 
-def fit(texts: dict[str, list[bytes]], prior: dict[str, int]) -> Model:
-    """Counts the context trees of each language; ``prior``: documents by language."""
+@dataclass
+class Groups:
+    """More than GROUP languages: a broadcast model of each group of them, of which a worker holds one at a time."""
+
+    languages: list[str]
+    parts: list[Broadcast]
+    prior: np.ndarray  # bits of each language
+
+    @property
+    def value(self) -> Groups:
+        return self
+
+
+def _prior(languages: list[str], counts: dict[str, int]) -> np.ndarray:
+    shares = np.array([counts.get(x, 0) + 1 for x in languages], np.float64)
+    return -np.log2(shares / shares.sum())
+
+
+def fit(texts: dict[str, list[bytes]], prior: dict[str, int], most: int | None = None) -> Model:
+    """Counts the context trees of each language; ``prior``: documents by language; ``most``: contexts of each higher order (default CONTEXTS)."""
     languages = sorted(texts)
-    most = CONTEXTS * 4 // max(len(languages), 4)
+    most = most or CONTEXTS
     seen = np.zeros(256, np.int64)
     for t in (t for own in texts.values() for t in own):
         seen += np.bincount(np.frombuffer(t, np.uint8), minlength=256)
@@ -105,8 +124,7 @@ def fit(texts: dict[str, list[bytes]], prior: dict[str, int]) -> Model:
         rows = rows.copy()
         rows[kept] = at + np.arange(len(kept))
     bits = -np.log2(np.concatenate(tables)) + np.where(np.arange(a) == a - 1, np.log2(weight[-1]), 0.0)[None, :, None]
-    shares = np.array([prior.get(x, 0) + 1 for x in languages], np.float64)
-    return Model(languages, classes.astype(np.int32), rows.astype(np.int32), bits.reshape(-1, len(languages)).astype(np.float32), -np.log2(shares / shares.sum()))
+    return Model(languages, classes.astype(np.int32), rows.astype(np.int32), bits.reshape(-1, len(languages)).astype(np.float32), _prior(languages, prior))
 
 
 def code_lengths(model: Model, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -140,35 +158,64 @@ def code_lengths(model: Model, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Fits on at most SAMPLE_DOCS rows of each of at most LANGUAGES languages where ``labelled`` holds and language and text are not null.
+def train(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | Groups | None:
+    """Fits on at most SAMPLE_DOCS rows of each language where ``labelled`` holds and language and text are not null.
 
     None without any such row. Languages are counted over all labelled rows. Only ids and languages are ranked (each task keeps its first SAMPLE_DOCS before the shuffle); the texts
-    of the ranked rows alone are then read.
+    of the ranked rows alone are then read. The driver holds the sample and the table of one group of at most GROUP languages at a time, and contexts are in proportion to a group's languages.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(labelled).where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
-    prior = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    prior = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not prior:
         return None
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.where(F.col("lang").isin(*prior)).select("id", "lang", F.row_number().over(order).alias("k")).where(f"k <= {SAMPLE_DOCS}").select("id", "lang").distinct()
-    part = rows.select("id", "lang", F.substring(F.encode("text", "UTF-8"), 1, SAMPLE_BYTES).alias("bytes")).join(F.broadcast(chosen), ["id", "lang"], "left_semi")
-    texts: dict[str, list[tuple]] = {x: [] for x in prior}
-    for r in part.collect():
-        texts[r["lang"]].append((r["id"], bytes(r["bytes"])))
-    return fit({k: [t for _, t in sorted(v)[:SAMPLE_DOCS]] for k, v in texts.items()}, prior)
-
-
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    chosen = rows.select("id", "lang", F.row_number().over(order).alias("k")).where(f"k <= {SAMPLE_DOCS}").select("id", "lang").distinct()
+    part = rows.select("id", "lang", F.substring(F.encode("text", "UTF-8"), 1, SAMPLE_BYTES).alias("bytes")).join(F.broadcast(chosen) if len(prior) <= 64 else chosen, ["id", "lang"], "left_semi")
+
+    def sample(found: DataFrame, languages: list[str]) -> dict[str, list[bytes]]:
+        texts: dict[str, list[tuple]] = {x: [] for x in languages}
+        for r in found.collect():
+            texts[r["lang"]].append((r["id"], bytes(r["bytes"])))
+        return {k: [t for _, t in sorted(v)[:SAMPLE_DOCS]] for k, v in texts.items()}
+
+    languages = sorted(prior)
+    if len(languages) <= GROUP:
+        return fit(sample(part, languages), prior)
+    n = -(-len(languages) // GROUP)
+    cuts = [len(languages) * i // n for i in range(n + 1)]
+    part, parts = part.persist(StorageLevel.DISK_ONLY), []
+    for lo, hi in zip(cuts, cuts[1:]):
+        own = languages[lo:hi]
+        parts.append(docs.sparkSession.sparkContext.broadcast(fit(sample(part.where(F.col("lang").isin(own)), own), prior, CONTEXTS * len(own) // GROUP)))
+    part.unpersist()
+    return Groups(languages, parts, _prior(languages, prior))
+
+
+def _shared(docs: DataFrame, model: Model | Groups) -> Broadcast | Groups:
+    return model if isinstance(model, Groups) else docs.sparkSession.sparkContext.broadcast(model)
+
+
+def _all_lengths(model: Model | Groups, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """(text, language): bits of each whole text, by one group's table after the other."""
+    if isinstance(model, Model):
+        return code_lengths(model, buf, offs)
+    found = []
+    for part in model.parts:
+        found.append(code_lengths(part.value, buf, offs))
+        part.__dict__.pop("_value", None)  # a worker would keep every table that it has read
+    return np.concatenate(found, axis=1)
+
+
+def identify(docs: DataFrame, model: Model | Groups | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: (id, lang_pred, score, bits_per_byte) from its whole text alone.
 
     ``score``: the posterior of the language from code lengths and the learned shares of languages. Null texts and texts without a letter: 'und', score 0.
-    Without a model, as nothing was labelled, every row is 'und'. Ties go to the language first in code point order. Repeated rows keep a row each. One pass without a shuffle; the broadcast model's size is bounded by CLASSES,
-    CONTEXTS and LANGUAGES.
+    Without a model, as nothing was labelled, every row is 'und'. Ties go to the language first in code point order. Repeated rows keep a row each. One pass without a shuffle; the size of a table is bounded by CLASSES,
+    CONTEXTS and GROUP, and their number and the work grow with the languages.
     """
     if model is None:
         return docs.select(F.col(id_col), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,9 +226,9 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("id", id_col)
 
 
-def predict(model: Model, buf: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+def predict(model: Model | Groups, buf: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(language, posterior, bits a byte) of each text."""
-    size, bits = np.diff(offs), code_lengths(model, buf, offs)
+    size, bits = np.diff(offs), _all_lengths(model, buf, offs)
     letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[buf])])
     ok = letters[offs[1:]] > letters[offs[:-1]]
     for i in np.flatnonzero(~ok & (size > 0)):
@@ -194,7 +241,7 @@ def predict(model: Model, buf: np.ndarray, offs: np.ndarray) -> tuple[list[str],
     return [model.languages[b] if k else "und" for b, k in zip(best, ok)], score, rate
 
 
-def identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+def identified(docs: DataFrame, model: Model | Groups, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows whose language is found with a posterior of ``least`` or more; null texts and texts without a letter go."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _shared(docs, model)
     return keep_rows(docs, text_col, lambda buf, offs: predict(shared.value, buf, offs)[1] >= least)
