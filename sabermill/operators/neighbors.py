@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sabermill.operators.windows import top_k
 
 
+def _distances(rows: DataFrame, key: str, position: str, vector: str) -> DataFrame:
+    """(pos, player, comp, dist) of all pairs of one position, by Euclidean distance."""
+    v = rows.select(F.col(key).alias("id"), F.col(position).alias("pos"), F.col(vector).cast("array<double>").alias("v"))
+    a, b = v.alias("a"), v.alias("b")
+    square = F.aggregate(F.zip_with("a.v", "b.v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    pairs = a.join(b, (F.col("a.pos") == F.col("b.pos")) & (F.col("a.id") != F.col("b.id")))
+    return pairs.select("a.pos", F.col("a.id").alias("player"), F.col("b.id").alias("comp"), F.sqrt(square).alias("dist"))
+
+
 def comps(rows: DataFrame, key: str, position: str, vector: str, k: int) -> DataFrame:
     """(player, comp, dist): the ``k`` nearest others of the same position by Euclidean distance, ties to smaller keys.
 
     Positions bound the candidates; with very large positions, give a finer class (for instance a hash of a projection) as ``position``.
     """
-    v = rows.select(F.col(key).alias("id"), F.col(position).alias("pos"), F.col(vector).cast("array<double>").alias("v"))
-    a, b = v.alias("a"), v.alias("b")
-    square = F.aggregate(F.zip_with("a.v", "b.v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    pairs = a.join(b, (F.col("a.pos") == F.col("b.pos")) & (F.col("a.id") != F.col("b.id")))
-    dist = pairs.select(F.col("a.id").alias("player"), F.col("b.id").alias("comp"), F.round(F.sqrt(square), 6).alias("dist"))
+    dist = _distances(rows, key, position, vector).select("player", "comp", F.round("dist", 6).alias("dist"))
     return top_k(dist, ["player"], [F.col("dist"), F.col("comp")], k)
+
+
+def comps_within(rows: DataFrame, key: str, position: str, vector: str, least: int = 5, most: int = 20) -> DataFrame:
+    """(player, comp, dist): the ``least`` nearest others of the same position and all others inside its radius, at most the ``most`` nearest, ties to smaller keys.
+
+    A position's radius is the median of its players' distances to their ``least``-th nearest (or last) other. Candidates are bounded as in ``comps``.
+    """
+    order = Window.partitionBy("player").orderBy("dist", "comp")
+    near = _distances(rows, key, position, vector).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(least, most))
+    last = near.where(F.col("rank") <= least).groupBy("pos", "player").agg(F.max("dist").alias("last"))
+    radius = last.groupBy("pos").agg(F.percentile("last", F.lit(0.5)).alias("radius"))
+    kept = near.join(radius, "pos").where((F.col("rank") <= most) & ((F.col("rank") <= least) | (F.col("dist") <= F.col("radius"))))
+    return kept.select("player", "comp", F.round("dist", 6).alias("dist"))
