@@ -73,3 +73,69 @@ def test_digest_matches_contract(spark, tmp_path):
     want = {i: ids_of(t) for i, t, *_ in rows}
     for p in op1_packing(spark, str(tmp_path)).collect():
         assert p.ids_crc32 == zlib.crc32(np.array(want[p.doc_id][p.start : p.start + p.length], "<u4").tobytes())
+
+
+def check_windows(pieces, window, total):
+    filled = {}
+    for p in pieces:
+        filled.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    assert sorted(filled) == list(range(-(-total // window)))
+    for s, parts in filled.items():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end and length > 0
+            end += length
+        assert end == (window if s < len(filled) - 1 else total - window * (len(filled) - 1))
+
+
+def test_two_thousand_sources_keep_their_names_and_shares(spark, monkeypatch):
+    from sabermill.llm import packing
+
+    monkeypatch.setattr(packing, "QUEUES", 8)
+    rows = [(i, "some words here", f"s{i % 500}" if i % 2 else f"big{i % 3}") for i in range(4000)]
+    pieces = pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), Scratch(spark), window=256).collect()
+    total = sum(p.length for p in pieces)
+    check_windows(pieces, 256, total)
+    of, size, covered = {i: s for i, _, s in rows}, pieces[0].doc_tokens, {}
+    for p in pieces:
+        assert p.source == of[p.doc_id]
+        covered.setdefault(p.doc_id, []).append((p.start, p.length))
+    for own in covered.values():
+        at = 0
+        for start, length in sorted(own):
+            assert start == at
+            at += length
+        assert at == size
+    by = {}
+    for p in pieces:
+        if p.source == "s77":
+            by[p.sequence_id] = by.get(p.sequence_id, 0) + p.length
+    half = max(p.sequence_id for p in pieces) // 2
+    assert abs(sum(n for s, n in by.items() if s < half) - sum(by.values()) / 2) <= 2 * size
+
+
+@pytest.mark.parametrize("share", [1e-9, 1e-3])
+def test_a_rare_source_takes_memory_of_its_tokens_alone(share):
+    totals = np.array([int(2000 / share), 2000, 10**6])
+    mix = Mixture(totals, None, 2048)
+    first = mix.cuts(1, 0, 2000)
+    w = mix.window_of(np.full(2000, 1), np.arange(2000))
+    assert (np.diff(w) >= 0).all() and first.tolist() == (np.flatnonzero(np.diff(w) > 0) + 1).tolist()
+    begin, place = mix.starts(w, np.full(2000, 1))
+    assert (begin <= np.arange(2000)).all() and (place < 2048).all()
+    low, high = mix.served(w)[:, 1], mix.served(w + 1)[:, 1]
+    assert ((low <= np.arange(2000)) & (np.arange(2000) < high)).all()
+
+
+def test_ranks_are_a_permutation():
+    mix = Mixture(np.array([5, 5, 3, 0, 11]), np.array([1.0, 1.0, 2.0, 1.0, 1.0]), 4)
+    ranks = np.concatenate([mix.rank(np.full(n, q), np.arange(n)) for q, n in enumerate([5, 5, 3, 0, 11])])
+    assert sorted(ranks.tolist()) == list(range(24))
+
+
+def test_weights_must_name_every_source_with_documents(spark):
+    docs = spark.createDataFrame([(1, "a", "x"), (2, "b", None)], "doc_id long, text string, source string")
+    for bad in ({"x": 1.0}, {"x": 1.0, "": 0.0}, {"x": None, "": 1.0}):
+        with pytest.raises(ValueError, match="positive weight"):
+            pack(docs, Scratch(spark), weights=bad)
+    assert pack(docs, Scratch(spark), weights={"x": 1.0, "": 2.0, "absent": None}).count() == 2
