@@ -38,3 +38,17 @@ def test_recall_ties_and_bad_vectors(spark, monkeypatch):
 def test_few_candidates(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [0.5, 0.1], 0)], SCHEMA)
     assert [(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(few, few.where("vec_id = 0"), k=20).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
+
+
+def test_repeated_rows_and_extreme_values(spark):
+    rows = [(0, [1.0, 0.0], 0), (0, [1.0, 0.0], 0), (0, [3.0, 0.0], 0), (1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [0.5, 0.1], 0), (20, [0.5, 0.1], 0), (20, [0.5, 0.1], 0)]
+    base = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.nearest(base, base.where("vec_id % 20 = 0"), k=20).collect())
+    assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 20), (20, 1, 0), (20, 2, 1), (20, 3, 2)]
+    for size in (1e200, 1e-200, 1.7e308):
+        rows = [(0, [size, 0.0]), (1, [size / 2, size / 2]), (2, [-size, size]), (3, [1.0, 1.0])]
+        far = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = ann.nearest(far, far.where("vec_id = 0"), k=3).orderBy("rank").collect()
+        with np.errstate(over="ignore"):
+            want = {i: float(np.float64(size) * np.float64(v[0]) + 0.0 * v[1]) for i, v in rows[1:]}
+        assert [r.vec_id for r in got] == sorted(want, key=lambda i: (-want[i], i)) and all(r.score == want[r.vec_id] for r in got)
