@@ -1,10 +1,13 @@
 """Language identification by prediction by partial matching over bytes.
 
-For each language a context tree of orders 0 to ``ORDER`` is counted on a bounded sample of labelled texts and then frozen: in a context seen n times with q
+For each language a context tree of orders 0 to ``ORDER`` is counted on a bounded sample of labelled rows, whole texts each, and then frozen: in a context seen n times with q
 distinct successors, a successor seen c times has probability c / (n + q), and the escape probability q / (n + q) is shared by the unseen bytes in proportion to their
 probability in the context that is one byte shorter; under order 0 lie equal chances for all 256 bytes. So every context's probabilities sum to one, and a text's code length under
-a language is an exact sum of logarithms. The trees are laid out as one table (context, byte, language), so that scoring is a table look-up per byte. Every labelled language is
-learned: beyond ``GROUP`` languages there is one table for each group of them, and texts are scored by one table after the other.
+a language is an exact sum of logarithms. Every context and every byte seen is kept.
+
+The trees of a group of languages are laid out together: a context is a row, and the successors that any of the languages has seen there are entries of one long array, in which the rows are
+pushed into each other so that a row's entries stand at its offset plus the byte (row displacement). A byte without an entry costs the row's escape and is looked up again in the row of
+the context that is one byte shorter. Beyond ``GROUP`` languages there is one such table for each group of them, and texts are scored by one table after the other.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ from sabermill.llm.kernels import slices, utf8
 from sabermill.llm.rows import keep_rows
 
 ORDER = 3
-#: The fit: so many documents of each language (smallest hash of their id first), so many bytes of each.
-SAMPLE_DOCS, SAMPLE_BYTES = 400, 16_384
-#: A table's size: distinct byte classes (rarer bytes share one), contexts of the highest orders (rarer ones use the next shorter) and languages.
-CLASSES, CONTEXTS, GROUP = 128, 12_000, 4
+#: The fit: so many labelled rows of each language, those with the smallest hash of their id first; their texts are whole.
+SAMPLE_DOCS = 400
+#: Languages of a table.
+GROUP = 4
 
 _LETTER = regex.compile(r"\p{L}")
 _ASCII_LETTER = np.zeros(256, bool)
@@ -35,9 +38,14 @@ _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 @dataclass
 class Model:
     languages: list[str]
-    classes: np.ndarray  # class of each byte
-    rows: np.ndarray  # table row of each context of ORDER classes
-    bits: np.ndarray  # (row * classes + class, language): code length of a byte
+    classes: np.ndarray  # class of each byte; bytes never seen share the last one
+    rows: np.ndarray  # row of the longest known part of each context of ORDER classes
+    offset: np.ndarray  # place of each row's entries
+    shorter: np.ndarray  # row of the context that is one byte shorter; -1 under the shortest
+    owner: np.ndarray  # row whose entry stands at each place, or -1
+    cost: np.ndarray  # (place, language): bits of the entry's byte, or NaN where the language has not seen it there
+    escape: np.ndarray  # (row, language): bits of an escape
+    floor: np.ndarray  # bits of a byte under order 0, by class
     prior: np.ndarray  # bits of each language
 
 
@@ -59,84 +67,188 @@ def _prior(languages: list[str], counts: dict[str, int]) -> np.ndarray:
     return -np.log2(shares / shares.sum())
 
 
-def fit(texts: dict[str, list[bytes]], prior: dict[str, int], most: int | None = None) -> Model:
-    """Counts the context trees of each language; ``prior``: documents by language; ``most``: contexts of each higher order (default CONTEXTS)."""
-    languages = sorted(texts)
-    most = most or CONTEXTS
-    seen = np.zeros(256, np.int64)
-    for t in (t for own in texts.values() for t in own):
-        seen += np.bincount(np.frombuffer(t, np.uint8), minlength=256)
-    common = [int(b) for b in np.argsort(-seen, kind="stable")[: CLASSES - 1] if seen[b]]
-    if 10 not in common:
-        common = [*common[: CLASSES - 2], 10]
-    classes = np.full(256, len(common), np.int64)
-    classes[sorted(common)] = np.arange(len(common))
-    a, start = len(common) + 1, int(classes[10])
+def grams(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes of each byte with the ORDER bytes before it (the latest lowest but one; line ends before the start), and how often each stands in the text."""
+    s = np.frombuffer(b"\n" * ORDER + text, np.uint8).astype(np.int64)
+    code = np.zeros(len(text), np.int64)
+    for k in range(ORDER + 1):
+        code = code << 8 | s[k : len(s) - ORDER + k]
+    return np.unique(code, return_counts=True)
+
+
+def _displaced(row: np.ndarray, symbol: np.ndarray, rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of the rows of a sparse table (entries sorted by row) such that no two entries share a place, and each place's row or -1.
+
+    The fullest rows first; a row goes to the first fit after the last row with as many entries, and rows of one entry fill the gaps.
+    """
+    at = np.searchsorted(row, np.arange(rows + 1))
+    offset, owner, step = np.zeros(rows, np.int64), np.full(len(row) + 4 * width, -1, np.int32), 1024
+    singles: list[int] = []
+    after: dict[int, int] = {}
+    for r in np.argsort(-np.diff(at), kind="stable").tolist():
+        own = symbol[at[r] : at[r + 1]].tolist()
+        if len(own) == 1:
+            singles.append(r)
+        elif own:
+            o = after.get(len(own), 0)
+            while True:
+                if o + step + width >= len(owner):
+                    owner = np.append(owner, np.full(len(owner) + step, -1, np.int32))
+                taken = owner[o + own[0] : o + own[0] + step] >= 0
+                for x in own[1:]:
+                    taken |= owner[o + x : o + x + step] >= 0
+                if not taken.all():
+                    break
+                o += step
+            o += int(taken.argmin())
+            offset[r], after[len(own)] = o, o
+            owner[o + np.array(own)] = r
+    if singles:  # rows of one entry fill the gaps
+        if (short := len(singles) + width - int((owner[width:] < 0).sum())) > 0:
+            owner = np.append(owner, np.full(short, -1, np.int32))
+        r = np.array(singles)
+        place = width + np.flatnonzero(owner[width:] < 0)[: len(r)]
+        offset[r] = place - symbol[at[r]]
+        owner[place] = r
+    used = int(np.flatnonzero(owner >= 0)[-1]) + 1 if (owner >= 0).any() else 0
+    return offset, np.append(owner[:used], np.full(width + max(int(offset.max(initial=0)) - used, 0), -1, np.int32))
+
+
+def fit(texts: dict[str, list[bytes]], prior: dict[str, int]) -> Model:
+    """The model of whole texts by language; ``prior``: documents by language."""
+    counts = {}
+    for lang, own in texts.items():
+        codes, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*map(grams, own)) if own else ((), ())))
+        u, back = np.unique(codes, return_inverse=True)
+        counts[lang] = u, np.bincount(back, n, len(u)).astype(np.int64)
+    return fit_counts(counts, prior)
+
+
+def fit_counts(grams_of: dict[str, tuple[np.ndarray, np.ndarray]], prior: dict[str, int]) -> Model:
+    """The model of counted ``grams`` by language."""
+    languages = sorted(grams_of)
+    seen = np.zeros(256, bool)
+    seen[10] = True
+    for codes, _ in grams_of.values():
+        seen[codes & 255] = True
+    classes = np.full(256, seen.sum(), np.int64)
+    classes[seen] = np.arange(seen.sum())
+    a = int(seen.sum()) + 1
     weight = np.ones(a)
-    weight[-1] = 256 - len(common)
-    # successor counts by language and order: context codes have the latest byte lowest
-    counts: list[list[tuple[np.ndarray, np.ndarray]]] = []
-    for lang in languages:
-        codes: list[list[np.ndarray]] = [[] for _ in range(ORDER + 1)]
-        for t in texts[lang]:
-            s = np.concatenate([np.full(ORDER, start), classes[np.frombuffer(t, np.uint8)]])
-            context = np.zeros(len(s) - ORDER, np.int64)
-            for k in range(ORDER + 1):
-                codes[k].append(context * a + s[ORDER:])
-                if k < ORDER:
-                    context = context + s[ORDER - 1 - k : len(s) - 1 - k] * a**k
-        counts.append([np.unique(np.concatenate(c) if c else np.zeros(0, np.int64), return_counts=True) for c in codes])
-    # contexts kept, by order: order 0 and 1 all, above the most frequent
-    rows = np.zeros(1, np.int64)
-    tables = [np.full((1, a, len(languages)), 0.0)]
-    at = 0
+    weight[-1] = 256 - seen.sum()
+    # (context, byte) codes in classes by order, and counts by language
+    tables: list[tuple[np.ndarray, np.ndarray]] = []
     for k in range(ORDER + 1):
-        total: dict[int, int] = {}
-        for own in counts:
-            ctx, n = own[k][0] // a, own[k][1]
-            u, inv = np.unique(ctx, return_inverse=True)
-            for c, m in zip(u.tolist(), np.bincount(inv, n, len(u)).tolist()):
-                total[c] = total.get(c, 0) + m
-        kept = np.array(sorted(sorted(total, key=lambda c: (-total[c], c))[:most]), np.int64)
+        parts = []
+        for j, lang in enumerate(languages):
+            codes, n = grams_of[lang]
+            code = np.zeros(len(codes), np.int64)
+            for back in range(k, -1, -1):
+                code = code * a + classes[codes >> 8 * back & 255]
+            parts.append((code, np.full(len(code), j), n))
+        code, j, n = (np.concatenate(x) for x in zip(*parts))
+        entry, back = np.unique(code, return_inverse=True)
+        table = np.zeros((len(entry), len(languages)))
+        np.add.at(table, (back, j), n)
+        tables.append((entry, table))
+    # rows by order; p: probability of each byte class, of one row's children at a time
+    shorter, escape, all_rows, all_symbols, all_bits = [], [], [], [], []
+    index = np.zeros(1, np.int64)  # row of each context of the order before
+    first = 0
+    lower_of = None
+    for k, (entry, count) in enumerate(tables):
+        context = entry // a
+        names, row = np.unique(context, return_inverse=True) if k else (np.zeros(1, np.int64), np.zeros(len(entry), np.int64))
+        total = np.zeros((len(names), len(languages)))
+        kinds = np.zeros_like(total)
+        np.add.at(total, row, count)
+        np.add.at(kinds, row, count > 0)
+        up = index[names % a ** (k - 1)] if k else np.array([-1])
+        # chances that the shorter context gives the bytes seen here: what is left is for the unseen
         if k == 0:
-            lower, kept = np.repeat((weight / 256)[None, :, None], len(languages), axis=2), np.zeros(1, np.int64)
-            rows = np.zeros(1, np.int64)
+            chance = np.repeat((1 / 256 * weight)[entry % a][:, None], len(languages), axis=1)
         else:
-            longer = np.tile(rows, a)  # the oldest class is highest, so a context's shorter one repeats
-            lower = np.concatenate(tables)[longer[kept]]
-            rows = longer
-        table = np.empty((len(kept), a, len(languages)))
-        for j, own in enumerate(counts):
-            codes, n = own[k]
-            place = np.searchsorted(kept, codes // a)
-            ok = kept[np.minimum(place, len(kept) - 1)] == codes // a
-            c = np.zeros((len(kept), a))
-            c[place[ok], codes[ok] % a] = n[ok]
-            total_n, distinct = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
-            free = np.where(c > 0, 0.0, lower[:, :, j])
-            rest = free.sum(axis=1, keepdims=True)
-            full = rest <= 1e-12  # every byte was seen: nothing to escape to
-            escape = np.where(total_n == 0, 1.0, np.where(full, 0.0, distinct / np.maximum(total_n + distinct, 1)))
-            p = np.where(c > 0, c / np.maximum(total_n + np.where(full, 0, distinct), 1), escape * free / np.where(full, 1.0, rest))
-            table[:, :, j] = np.where(total_n == 0, lower[:, :, j], p)
-        at = sum(map(len, tables)) if k else 0
-        tables = [*tables, table] if k else [table]
-        rows = rows.copy()
-        rows[kept] = at + np.arange(len(kept))
-    bits = -np.log2(np.concatenate(tables)) + np.where(np.arange(a) == a - 1, np.log2(weight[-1]), 0.0)[None, :, None]
-    return Model(languages, classes.astype(np.int32), rows.astype(np.int32), bits.reshape(-1, len(languages)).astype(np.float32), _prior(languages, prior))
+            chance = lower_of(up[row], entry % a)
+        taken = np.zeros_like(total)
+        np.add.at(taken, row, np.where(count > 0, chance, 0.0))
+        rest = 1 - taken
+        full = rest <= 1e-9  # every byte was seen: nothing to escape to
+        n = total[row]
+        q = np.where(full, 0, kinds)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p = np.where(count > 0, count / (n + q[row]), np.nan)
+            factor = np.where(total == 0, 1.0, np.where(full, 1e-300, q / (total + q) / np.where(full, 1.0, rest)))
+            bits, out = -np.log2(p), -np.log2(factor)
+        shorter.append(up)
+        escape.append(out)
+        all_rows.append(row + first)
+        all_symbols.append(entry % a)
+        all_bits.append(bits)
+        index = np.full(a**k, -1, np.int64) if k else np.zeros(1, np.int64)
+        if k:
+            index[names] = first + np.arange(len(names))
+        below, base = lower_of, first
+
+        def lower_of(rows, symbols, entry=entry, names=names, p=p, factor=factor, below=below, up=up, base=base, k=k):
+            """Probability of byte classes in rows of this order."""
+            r = rows - base
+            code = names[r] * a + symbols
+            at = np.minimum(np.searchsorted(entry, code), len(entry) - 1)
+            here = (entry[at] == code)[:, None] & ~np.isnan(p[at])
+            deeper = np.repeat((1 / 256 * weight)[symbols][:, None], len(languages), axis=1) if below is None else below(up[r], symbols)
+            return np.where(here, np.nan_to_num(p[at]), factor[r] * deeper)
+
+        first += len(names)
+    # the longest known part of every context of ORDER classes
+    reach = np.zeros(1, np.int64)
+    at = 0
+    for k, up in enumerate(shorter):
+        if k:
+            reach = np.tile(reach, a)  # the oldest class is highest, so a context's shorter one repeats
+            names = np.unique(tables[k][0] // a)
+            reach[names] = at + np.arange(len(names))
+        at += len(up)
+    offset, owner = _displaced(np.concatenate(all_rows), np.concatenate(all_symbols), first, a)
+    cost = np.full((len(owner), len(languages)), np.nan, np.float32)
+    cost[offset[np.concatenate(all_rows)] + np.concatenate(all_symbols)] = np.concatenate(all_bits)
+    return Model(languages, classes.astype(np.int32), reach.astype(np.int32), offset.astype(np.int32), np.concatenate(shorter).astype(np.int32), owner, cost, np.concatenate(escape).astype(np.float32), np.full(a, 8.0, np.float32), _prior(languages, prior))
+
+
+def byte_bits(model: Model, row: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """(byte, language): code length of each byte class in the row of its context, escapes to shorter contexts included."""
+    place = model.offset[row] + symbol
+    out = model.cost[place]
+    out[model.owner[place] != row] = np.nan
+    left = np.flatnonzero(np.isnan(out).any(axis=1))  # a language that lacks the byte goes on alone
+    if len(left):
+        escaped, row, symbol = np.zeros((len(left), out.shape[1]), np.float32), row[left], symbol[left]
+        need = np.isnan(out[left])
+        while len(left):
+            escaped += np.where(need, model.escape[row], 0)
+            row = model.shorter[row]
+            low = row < 0
+            place = model.offset[row] + symbol
+            got = np.where((model.owner[place] == row)[:, None], model.cost[place], np.nan)
+            got[low] = model.floor[symbol[low], None]
+            done = need & ~np.isnan(got)
+            at, lang = np.nonzero(done)
+            out[left[at], lang] = escaped[done] + got[done]
+            need &= ~done
+            more = need.any(axis=1)
+            left, row, symbol, escaped, need = left[more], row[more], symbol[more], escaped[more], need[more]
+    return out
 
 
 def code_lengths(model: Model, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """(text, language): bits of each whole text."""
-    n, a = len(offs) - 1, int(model.classes.max()) + 1
+    n, a = len(offs) - 1, len(model.floor)
     out = np.zeros((n, len(model.languages)))
     start = int(model.classes[10])
-    for lo, hi in slices(offs, 1 << 19):
+    for lo, hi in slices(offs, 1 << 18):
         b, o = model.classes[buf[offs[lo] : offs[hi]]], offs[lo : hi + 1] - offs[lo]
         at = 0
         while at < len(b):  # a very long text goes in parts
-            to = min(at + (1 << 20), len(b))
+            to = min(at + (1 << 19), len(b))
             code = np.zeros(to - at, np.int32)
             for k in range(1, ORDER + 1):
                 prev = np.full(to - at, start, np.int32)
@@ -147,7 +259,7 @@ def code_lengths(model: Model, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
                     cut = cut[(cut < o[1:]) & (cut >= at) & (cut < to)] - at
                     prev[cut] = start
                 code += prev * a ** (k - 1)
-            cost = model.bits[model.rows[code] * a + b[at:to]]
+            cost = byte_bits(model, model.rows[code], b[at:to])
             first = int(np.searchsorted(o, at, "right")) - 1
             last = int(np.searchsorted(o, to, "left"))
             docs = np.arange(first, last)
@@ -161,33 +273,46 @@ def code_lengths(model: Model, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | Groups | None:
     """Fits on at most SAMPLE_DOCS rows of each language where ``labelled`` holds and language and text are not null.
 
-    None without any such row. Languages are counted over all labelled rows. Only ids and languages are ranked (each task keeps its first SAMPLE_DOCS before the shuffle); the texts
-    of the ranked rows alone are then read. The driver holds the sample and the table of one group of at most GROUP languages at a time, and contexts are in proportion to a group's languages.
+    None without any such row. Languages are counted over all labelled rows. Only ids and languages are ranked (each task keeps its first SAMPLE_DOCS before the shuffle); the whole texts
+    of the ranked rows alone are then counted where they lie, ORDER + 1 bytes at a time, and added up by language. The driver holds the distinct strings of ORDER + 1 bytes of one group of at
+    most GROUP languages at a time, however long the texts are. Rows that share an id and a language all count.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(labelled).where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
     prior = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not prior:
         return None
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang", F.row_number().over(order).alias("k")).where(f"k <= {SAMPLE_DOCS}").select("id", "lang").distinct()
-    part = rows.select("id", "lang", F.substring(F.encode("text", "UTF-8"), 1, SAMPLE_BYTES).alias("bytes")).join(F.broadcast(chosen) if len(prior) <= 64 else chosen, ["id", "lang"], "left_semi")
+    chosen = rows.select("id", "lang").select("id", "lang", F.row_number().over(order).alias("k")).where(f"k <= {SAMPLE_DOCS}").select("id", "lang").distinct()
+    part = rows.join(F.broadcast(chosen) if len(prior) <= 64 else chosen, ["id", "lang"], "left_semi").select("lang", "text")
 
-    def sample(found: DataFrame, languages: list[str]) -> dict[str, list[bytes]]:
-        texts: dict[str, list[tuple]] = {x: [] for x in languages}
-        for r in found.collect():
-            texts[r["lang"]].append((r["id"], bytes(r["bytes"])))
-        return {k: [t for _, t in sorted(v)[:SAMPLE_DOCS]] for k, v in texts.items()}
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, text in zip(batch.column(0), batch.column(1)):
+                codes, n = grams(text.as_py().encode())
+                yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(codes), pa.string()), pa.array(codes), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
+
+    found = part.mapInArrow(counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+
+    def own_counts(found: DataFrame, languages: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        table = found.toArrow()
+        lang, code, n = np.asarray(table["lang"]), np.asarray(table["code"]), np.asarray(table["n"])
+        out = {}
+        for x in languages:
+            on = np.flatnonzero(lang == x)
+            on = on[np.argsort(code[on])]
+            out[x] = code[on], n[on]
+        return out
 
     languages = sorted(prior)
     if len(languages) <= GROUP:
-        return fit(sample(part, languages), prior)
+        return fit_counts(own_counts(found, languages), prior)
     n = -(-len(languages) // GROUP)
     cuts = [len(languages) * i // n for i in range(n + 1)]
-    part, parts = part.persist(StorageLevel.DISK_ONLY), []
+    found, parts = found.persist(StorageLevel.DISK_ONLY), []
     for lo, hi in zip(cuts, cuts[1:]):
         own = languages[lo:hi]
-        parts.append(docs.sparkSession.sparkContext.broadcast(fit(sample(part.where(F.col("lang").isin(own)), own), prior, CONTEXTS * len(own) // GROUP)))
-    part.unpersist()
+        parts.append(docs.sparkSession.sparkContext.broadcast(fit_counts(own_counts(found.where(F.col("lang").isin(own)), own), prior)))
+    found.unpersist()
     return Groups(languages, parts, _prior(languages, prior))
 
 
@@ -210,8 +335,8 @@ def identify(docs: DataFrame, model: Model | Groups | None, id_col: str = "doc_i
     """Per row: (id, lang_pred, score, bits_per_byte) from its whole text alone.
 
     ``score``: the posterior of the language from code lengths and the learned shares of languages. Null texts and texts without a letter: 'und', score 0.
-    Without a model, as nothing was labelled, every row is 'und'. Ties go to the language first in code point order. Repeated rows keep a row each. One pass without a shuffle; the size of a table is bounded by CLASSES,
-    CONTEXTS and GROUP, and their number and the work grow with the languages.
+    Without a model, as nothing was labelled, every row is 'und'. Ties go to the language first in code point order. Repeated rows keep a row each. One pass without a shuffle; the size of a table
+    is bounded by what SAMPLE_DOCS rows of GROUP languages hold, and the number of tables and the work grow with the languages.
     """
     if model is None:
         return docs.select(F.col(id_col), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))

@@ -1,6 +1,8 @@
+import math
 import random
+from collections import Counter, defaultdict
 
-import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,26 +31,43 @@ def test_held_out_accuracy_and_rejects(spark):
     assert langid.identify(docs.where("false"), model).count() == 0
 
 
-def test_contexts_sum_to_one_and_code_lengths_add_up():
-    texts = {k: [" ".join(v).encode() * 3] for k, v in WORDS.items()}
+def plain_ppm(own):
+    """A context's probabilities of all 256 bytes, by counting and recursion alone."""
+    seen = defaultdict(Counter)
+    for t in own:
+        padded = b"\n" * langid.ORDER + t
+        for i in range(langid.ORDER, len(padded)):
+            for k in range(langid.ORDER + 1):
+                seen[padded[i - k : i]][padded[i]] += 1
+
+    def chances(context):
+        low, own = chances(context[1:]) if context else [1 / 256] * 256, seen[context]
+        n, q, rest = sum(own.values()), len(own), sum(p for b, p in enumerate(low) if b not in own)
+        return [own[b] / (n + q) if b in own else q / (n + q) * low[b] / rest for b in range(256)] if n else low
+
+    return chances
+
+
+def test_code_lengths_match_a_plain_model():
+    rng = random.Random(2)
+    texts = {k: [" ".join(rng.choices(v, k=20)).encode() for _ in range(5)] + [b""] for k, v in WORDS.items()}
     model = langid.fit(texts, {k: 1 for k in texts})
-    a = int(model.classes.max()) + 1
-    weight = np.ones(a)
-    weight[-1] = (model.classes == a - 1).sum()
-    p = np.exp2(-model.bits.reshape(-1, a, 3).astype(np.float64))
-    assert np.allclose((p * weight[None, :, None]).sum(axis=1), 1, atol=1e-5)
-    import pyarrow as pa
-
-    sample = ["the être", "", "nicht\x00", "t"]
-    whole = langid.code_lengths(model, *utf8(pa.array(sample)))
-    for i, t in enumerate(sample):
-        history = [int(model.classes[10])] * langid.ORDER
-        bits = np.zeros(3)
-        for byte in t.encode():
-            code = sum(c * a**k for k, c in enumerate(reversed(history[-langid.ORDER :])))
-            bits += model.bits[model.rows[code] * a + model.classes[byte]]
-            history.append(int(model.classes[byte]))
-        assert whole[i] == pytest.approx(bits, rel=1e-5)
+    sample = ["the être", "", "nicht\x00", "t", "zzz über thing où \U0001f600"]
+    got = langid.code_lengths(model, *utf8(pa.array(sample)))
+    for j, lang in enumerate(model.languages):
+        chances = plain_ppm(texts[lang])
+        for i, t in enumerate(sample):
+            padded = b"\n" * langid.ORDER + t.encode()
+            want = sum(-math.log2(chances(padded[x - langid.ORDER : x])[padded[x]]) for x in range(langid.ORDER, len(padded)))
+            assert got[i, j] == pytest.approx(want, rel=1e-4)
+        assert sum(chances(b"the")) == pytest.approx(1) and sum(chances(b"\n\n\n")) == pytest.approx(1)
+
+
+def test_whole_texts_are_learned(spark):
+    """What tells the languages apart stands behind the first megabyte of the only labelled text of each."""
+    docs = spark.createDataFrame([(0, "ab " * 350_000 + "quix " * 400, "a"), (1, "ab " * 350_000 + "zorn " * 400, "b"), (2, "quix quix quix", None), (3, "zorn zorn", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, langid.train(docs, F.lit(True))).collect()}
+    assert (got[2], got[3]) == ("a", "b")
 
 
 def test_nothing_labelled(spark):
