@@ -67,8 +67,18 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def added_columns(columns: list[str]) -> list[str]:
+    """What the columns removed_chunks, removed_lines and total_lines are called beside ``columns``: a name that is taken gets underscores at its end."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in ("removed_chunks", "removed_lines", "total_lines"):
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def line_dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with each text's repeated chunks removed, and three columns more: removed_chunks, removed_lines, total_lines (long).
+    """``docs`` with each text's repeated chunks removed, and three columns more: removed_chunks, removed_lines, total_lines (long; see ``added_columns`` where ``docs`` has such columns).
 
     A chunk is removed if a document with a smaller id has the same bytes as a chunk, or if it stands earlier in the same text. Kept chunks keep their bytes; what remains
     is joined as it stood. Null texts stay null and count no lines; rows that share an id never count as earlier copies of each other; rows with a null id only lose
@@ -148,7 +158,7 @@ def _dedup(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, units:
             yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3))], [*cols, "removed_chunks", "removed_lines", "total_lines"])
         release()
 
-    return joined.mapInArrow(cut, f"{schema}, removed_chunks long, removed_lines long, total_lines long").toDF(*names, "removed_chunks", "removed_lines", "total_lines")
+    return joined.mapInArrow(cut, f"{schema}, removed_chunks long, removed_lines long, total_lines long").toDF(*names, *added_columns(names))
 
 
 def _cut(text: str, gone: set[int]) -> tuple[str, int, int, int]:

@@ -64,7 +64,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sabermill.llm.linededup import passage_dedup
 
-    cut = passage_dedup(table(spark, sf_dir, "documents"), Scratch(spark))
+    cut = passage_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark))
     return cut.select("doc_id", "total_lines", "removed_lines", "removed_chunks", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 

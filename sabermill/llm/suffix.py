@@ -2,14 +2,13 @@
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id. Where two documents share such a string, they share its smallest
 hash of ``FILTER`` bytes, so only windows whose smallest hash stands in two documents are looked at again; these are dealt out by the smallest hash of ``ANCHOR`` bytes, which equal
-strings share too, as segments of text. Each bucket sorts its suffixes by their first LENGTH bytes, then by document; in that order a suffix has an earlier copy if and only
-if its longest previous factor, found at the previous smaller document of the run with common prefixes of LENGTH bytes, is that long.
+strings share too, as segments of text. Each bucket builds the suffix array of its segments by prefix doubling, the common prefixes of neighbouring suffixes, and from them the longest previous factor of every
+place: the longer of the common prefixes with the nearest suffix of a smaller document before it and after it in suffix order. Where that factor has LENGTH bytes, the string at the place has an
+earlier copy, and what such factors cover goes.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -141,24 +140,100 @@ def _ranges(counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def previous_factors(words: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes given by their first bytes as big-endian words: (suffix order, whether each has its whole prefix at a smaller document).
-
-    The order is by prefix, then document, so that within a run of equal prefixes documents never fall; the previous smaller document
-    of a suffix is then the end of the run's part before its own document, and there is no next smaller one.
+_LOW = np.uint64((1 << 32) - 1)
+
+
+def _sorted_by(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the order of two 32-bit keys, equal ones as they stand; a number for each place, equal for equal keys): two sorts of plain numbers, which are vectorised, for one indirect sort."""
+    at = np.arange(len(high), dtype=np.uint64)
+    order = (np.sort(low.astype(np.uint64) << np.uint64(32) | at) & _LOW).astype(np.int64)
+    order = order[(np.sort(high[order].astype(np.uint64) << np.uint64(32) | at) & _LOW).astype(np.int64)]
+    h, w = high[order], low[order]
+    rank = np.empty(len(high), np.uint32)
+    rank[order] = np.cumsum(np.concatenate([[False], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]), dtype=np.uint32)[: len(high)]
+    return order, rank
+
+
+class SuffixArray:
+    """Suffixes of segments (bytes, offsets) by their first REACH bytes or up to their segment's end, by prefix doubling from 7 bytes on; equal ones in the order of their places."""
+
+    REACH = 56
+
+    def __init__(self, raw: np.ndarray, offs: np.ndarray) -> None:
+        n = len(raw)
+        self.left = (np.repeat(offs[1:], np.diff(offs)) - np.arange(n)).astype(np.int32)  # bytes up to the segment's end
+        wide = np.concatenate([raw, np.zeros(8, np.uint8)])
+        self.first = np.ndarray(n, ">u8", wide.data, strides=(1,)).astype(np.uint64)
+        # 7 bytes, zeros beyond the segment's end, then how many of them are inside: an end comes before every byte
+        near = np.flatnonzero(self.left < 8)
+        over = (8 - self.left[near]).astype(np.uint64) * np.uint64(8)
+        self.first[near] = self.first[near] >> over << over
+        key = self.first & np.uint64(2**64 - 256) | np.minimum(self.left, 7).astype(np.uint64)
+        self.order, rank = _sorted_by((key >> np.uint64(32)).astype(np.uint32), (key & _LOW).astype(np.uint32))
+        self.levels: list[tuple[int, np.ndarray]] = [(7, rank)]
+        size = 7
+        while size < self.REACH:
+            later = np.zeros(n, np.uint32)
+            on = np.flatnonzero(self.left > size)
+            later[on] = rank[on + size] + np.uint32(1)
+            self.order, rank = _sorted_by(rank, later)
+            size *= 2
+            self.levels.append((size, rank))
+        self.rank = rank
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Common prefixes of the suffixes at places ``a`` and ``b``, up to REACH bytes."""
+        most = np.minimum(np.minimum(self.left[a], self.left[b]), self.REACH).astype(np.int64)
+        size, rank = self.levels[-1]
+        out = np.where(rank[a] == rank[b], most, 0)
+        open_ = np.flatnonzero(rank[a] != rank[b])
+        a, b, done = a[open_], b[open_], np.zeros(len(open_), np.int64)
+        for size, rank in self.levels[-2::-1]:
+            x, y = a + done, b + done
+            on = (done + size <= self.left[a]) & (done + size <= self.left[b])
+            on[on] = rank[x[on]] == rank[y[on]]
+            done += np.where(on, size, 0)
+        inside = (done < self.left[a]) & (done < self.left[b])
+        diff = self.first[(a + done)[inside]] ^ self.first[(b + done)[inside]]
+        lead = np.zeros(len(diff), np.int64)  # leading bytes that are equal
+        for k in range(1, 9):
+            lead += diff >> np.uint64(64 - 8 * k) == 0
+        done[inside] += lead
+        out[open_] = np.minimum(done, most[open_])
+        return out
+
+
+def previous_factors(raw: np.ndarray, offs: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The longest previous factor of every byte of the segments: how many bytes from it on also start in a segment of a smaller document, up to SuffixArray.REACH; under LENGTH counts as 0.
+
+    ``docs``: each segment's document, never falling. In suffix order, the longest such string is shared with the nearest suffix of a smaller document on one of both sides; how much is the least
+    common prefix of neighbours in between. Nearest smaller ones are found by pointer jumping, all suffixes at once, which stops where too little is in common.
     """
-    order = np.lexsort((doc, *words[::-1]))
-    same = np.ones(max(len(order) - 1, 0), bool)  # common prefixes of full length with the suffix before
-    for w in words:
-        s = w[order]
-        same &= s[1:] == s[:-1]
-    d = doc[order]
-    first = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(order)), 0)) if len(order) else order
-    own = np.concatenate([[True], ~same | (d[1:] != d[:-1])]) if len(order) else np.zeros(0, bool)
-    part = np.maximum.accumulate(np.where(own, np.arange(len(order)), 0)) if len(order) else order
-    out = np.zeros(len(order), bool)
-    out[order] = part > first
-    return order, out
+    n = len(raw)
+    suffixes = SuffixArray(raw, offs)
+    doc_of = np.repeat(docs, np.diff(offs))
+    order = suffixes.order[suffixes.left[suffixes.order] >= LENGTH]
+    m, doc = len(order), doc_of[order]
+    lcp = np.zeros(m + 1, np.int64)  # lcp[i]: with the suffix before
+    if m > 1:
+        lcp[1:m] = suffixes.common(order[:-1], order[1:])
+    factor = np.zeros(m, np.int64)
+    for step in (-1, 1):
+        to = np.arange(m) + step
+        least = lcp[:m].copy() if step < 0 else lcp[1:].copy()  # the least common prefix on the way to ``to``
+        open_ = np.flatnonzero(least >= LENGTH)
+        while len(open_):
+            met = doc[to[open_]] < doc[open_]
+            factor[open_[met]] = np.maximum(factor[open_[met]], least[open_[met]])
+            open_ = open_[~met]
+            via = to[open_]
+            # whoever stands between ``via`` and its own pointer is no smaller than ``via``, and so no smaller than we are
+            to_next, least_next = to[via], np.minimum(least[open_], least[via])
+            to[open_], least[open_] = to_next, least_next
+            open_ = open_[least_next >= LENGTH]
+    out = np.zeros(n, np.int64)
+    out[order] = factor
+    return out
 
 
 _REPLY = "chunk long, bucket int, bits binary"
@@ -190,15 +265,16 @@ def _factors(table: pa.Table) -> pa.Table:
         texts += batch.column(0).to_pylist()
         docs.append(np.asarray(batch.column(1)))
         sizes.append(batch.num_rows)
+    doc = np.concatenate(docs)
+    by = np.argsort(doc, kind="stable")
     lens = np.array([len(t) for t in texts], np.int64)
-    count = lens - LENGTH + 1
-    begin = np.concatenate([[0], np.cumsum(lens)])[:-1]
-    raw = np.concatenate([np.frombuffer(b"".join(texts), np.uint8), np.zeros(8, np.uint8)])
-    place = np.repeat(begin, count) + _ranges(count)
-    load = np.ndarray(len(raw) - 7, ">u8", raw.data, strides=(1,))
-    words = [load[place + k].astype(np.uint64) for k in (*range(0, LENGTH - 7, 8), LENGTH - 8)]
-    _, gone = previous_factors(words, np.repeat(np.concatenate(docs), count))
-    of = np.concatenate([[0], np.cumsum(count)])
+    offs = np.concatenate([[0], np.cumsum(lens[by])])
+    factor = previous_factors(np.frombuffer(b"".join([texts[i] for i in by.tolist()]), np.uint8), offs, doc[by])
+    begin = np.empty(len(by), np.int64)
+    begin[by] = offs[:-1]
+    starts = lens - LENGTH + 1  # places of each segment at which a string of LENGTH bytes fits
+    gone = factor[np.repeat(begin, starts) + _ranges(starts)] >= LENGTH
+    of = np.concatenate([[0], np.cumsum(starts)])
     edge = of[np.concatenate([[0], np.cumsum(sizes)])]
     bits = [np.packbits(gone[a:b]).tobytes() for a, b in zip(edge, edge[1:])]
     return pa.table([pa.array(chunk, pa.int64()), pa.array([table["bucket"][0].as_py()] * len(chunk), pa.int32()), pa.array(bits, pa.binary())], names=["chunk", "bucket", "bits"])
@@ -253,22 +329,3 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     replies = seen.withColumn("kind", F.lit(0)).unionByName(found.withColumn("kind", F.lit(1)))
     out = chunks.select("chunk", "blob").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(cut, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return out.withColumnRenamed("id", id_col)
-
-
-def brute(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, int, str]]:
-    """The contract by plain look-up of every string, for tests: (n_bytes, n_removed, n_spans, kept_sha256) by id."""
-    least: dict[bytes, int] = {}
-    raw = {i: (t or "").encode() for i, t in rows}
-    for i, b in raw.items():
-        for s in range(len(b) - LENGTH + 1):
-            w = b[s : s + LENGTH]
-            least[w] = min(i, least.get(w, i))
-    out = {}
-    for i, b in raw.items():
-        gone = bytearray(len(b))
-        for s in range(len(b) - LENGTH + 1):
-            if least[b[s : s + LENGTH]] < i:
-                gone[s : s + LENGTH] = b"\1" * LENGTH
-        kept = bytes(x for x, g in zip(b, gone) if not g)
-        out[i] = len(b), sum(gone), sum(1 for k, g in enumerate(gone) if g and not (k and gone[k - 1])), hashlib.sha256(kept).hexdigest()
-    return out

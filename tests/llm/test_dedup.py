@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 from texts import SCHEMA, documents
 
 from sabermill.llm import linededup, suffix
@@ -54,6 +55,23 @@ def test_line_dedup(spark):
     assert linededup.line_dedup(docs.where("false"), Scratch(spark)).count() == 0
 
 
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b\nc d\ne f", 7, 8, 9), (2, "x\na b\nc d\ny", 7, 8, 9)], "doc_id long, text string, removed_chunks long, Removed_Lines long, total_lines long")
+    assert linededup.added_columns(docs.columns) == ["removed_chunks_", "removed_lines_", "total_lines_"]
+    for way in (linededup.line_dedup, linededup.passage_dedup):
+        out = way(docs, Scratch(spark))
+        assert out.columns == [*docs.columns, "removed_chunks_", "removed_lines_", "total_lines_"]
+        assert all((r.removed_chunks, r.Removed_Lines, r.total_lines) == (7, 8, 9) for r in out.collect())
+    assert {r.doc_id: (r.text, r.removed_lines_) for r in out.collect()} == {1: ("a b\nc d\ne f", 0), 2: ("x\ny", 2)}
+
+
+def test_query_takes_clashing_names(spark, tmp_path):
+    from sabermill.llm.queries import op7_line_dedup
+
+    spark.createDataFrame([(1, "a b\nc d", 7, 8)], "doc_id long, text string, total_lines long, removed_chunks long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.total_lines for r in op7_line_dedup(spark, str(tmp_path)).collect()] == [2]
+
+
 def test_chunks_cover_the_text_and_resist_shifts():
     for t in [r[1].encode() for r in passages() if r[1]]:
         parts = linededup.chunks(t)
@@ -63,10 +81,53 @@ def test_chunks_cover_the_text_and_resist_shifts():
         assert len(own - moved) <= 1
 
 
+def suffix_brute(rows):
+    """The contract by plain look-up of every string: (n_bytes, n_removed, n_spans, kept_sha256) by id."""
+    least, raw, out, size = {}, {i: (t or "").encode() for i, t in rows}, {}, suffix.LENGTH
+    for i, b in raw.items():
+        for s in range(len(b) - size + 1):
+            w = b[s : s + size]
+            least[w] = min(i, least.get(w, i))
+    for i, b in raw.items():
+        gone = bytearray(len(b))
+        for s in range(len(b) - size + 1):
+            if least[b[s : s + size]] < i:
+                gone[s : s + size] = b"\1" * size
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        out[i] = len(b), sum(gone), sum(1 for k, g in enumerate(gone) if g and not (k and gone[k - 1])), hashlib.sha256(kept).hexdigest()
+    return out
+
+
+def test_longest_previous_factors_match_brute_force():
+    rng = random.Random(3)
+    for _ in range(25):
+        base = bytes(rng.choices(b"ab\0", k=150))
+        segments = []
+        for _ in range(6):
+            x = bytearray(rng.choice([base, bytes(rng.choices(b"ab", k=60)) + base[:80], b"a" * rng.randint(50, 120), base[20:]]))
+            if rng.random() < 0.5:
+                x[rng.randrange(len(x))] = 120
+            segments.append(bytes(x))
+        docs = sorted(rng.randint(0, 4) for _ in segments)
+        want = []
+        for s, d in zip(segments, docs):
+            for i in range(len(s)):
+                best = 0
+                for other in (o for o, e in zip(segments, docs) if e < d):
+                    for j in range(len(other)):
+                        k = 0
+                        while k < 56 and i + k < len(s) and j + k < len(other) and s[i + k] == other[j + k]:
+                            k += 1
+                        best = max(best, k)
+                want.append(best if best >= suffix.LENGTH else 0)
+        offs = np.concatenate([[0], np.cumsum([len(s) for s in segments])])
+        assert suffix.previous_factors(np.frombuffer(b"".join(segments), np.uint8), offs, np.array(docs)).tolist() == want
+
+
 def test_suffix_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(suffix, "CHUNK_BYTES", 3000)
     rows = [*passages()[:-1], *[(100 + r[0], *r[1:]) for r in documents()[:-1]]]
-    want = suffix.brute([(r[0], r[1]) for r in rows])
+    want = suffix_brute([(r[0], r[1]) for r in rows])
     got = suffix.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3), Scratch(spark)).collect()
     assert len(got) == len(rows)
     for r in got:
