@@ -1,39 +1,61 @@
-"""One spelling for names that sources write in different ways."""
+"""One spelling for names that sources write in different ways, as Column expressions."""
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: Generational suffixes, as they stand at the end of a name.
 SUFFIXES = ("Jr", "Sr", "II", "III", "IV")
 
-_SUFFIX = re.compile(f" (?:{'|'.join(SUFFIXES)})$")
-_BRACKETS = re.compile(r"[(\[].*?[)\]]")
 
+def _accents() -> tuple[str, str]:
+    """Latin letters that are one ASCII letter with marks, and those letters: by Unicode decomposition, so no table is kept."""
+    pairs = []
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        plain = [c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)]
+        if len(plain) == 1 and plain[0].isascii() and plain[0].isalpha():
+            pairs.append((chr(code), plain[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
-def plain_name(name: str | None, aliases: Mapping[str, str]) -> str:
-    """Without accents, dots, a closing suffix and bracketed parts, in title case, by alias; each side of "A + B" by itself. Null: empty."""
-    if name is None:
-        return ""
-    bare = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c) and c != ".")
-    if (end := _SUFFIX.search(bare)) is not None:
-        bare = bare.replace(end.group(), "")
-    titled = _BRACKETS.sub("", bare.replace("\u2019", "'")).strip().title()
-    sides = [side.strip() for side in titled.split("+")]
-    return " + ".join(aliases.get(side, side) for side in sides)
+
+_MARKED, _PLAIN = _accents()
+
+
+def unaccented(text: Column) -> Column:
+    """Latin letters without marks, whether composed or followed by combining ones."""
+    return F.regexp_replace(F.translate(text, _MARKED, _PLAIN), r"\p{M}", "")
+
+
+def title_case(text: Column) -> Column:
+    """A letter is large if no letter stands before it, also after digits and apostrophes, else small."""
+    words = F.split(F.lower(text), r"(?<=[^\p{L}])")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))), "")
 
 
 def normalised(name: Column, aliases: Mapping[str, str] | None = None) -> Column:
-    """``plain_name`` of a column, in Arrow batches; the alias table is configuration and goes with the function."""
-    known = dict(aliases or {})
+    """A name without accents, dots, bracketed parts and a closing suffix, in title case, by alias. Null: empty.
+
+    The sides of "A + B" and of "A vs B" are names of their own; they come back joined by " + " and by " vs. ".
+    """
+    bare = F.translate(F.translate(unaccented(F.coalesce(name, F.lit(""))), ".", ""), "’", "'")
+    bare = F.regexp_replace(bare, r"[(\[][^)\]]*[)\]]", "")
+    known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]) if aliases else None
+
+    def one(side: Column) -> Column:
+        titled = title_case(F.trim(F.regexp_replace(F.trim(side), f" (?:{'|'.join(SUFFIXES)})$", "")))
+        return F.coalesce(known[titled], titled) if known is not None else titled
+
+    def sides(pattern: str, joint: str) -> Column:
+        return F.array_join(F.transform(F.split(bare, pattern), one), joint)
+
+    return F.when(bare.contains("+"), sides(r"\+", " + ")).otherwise(sides(r"(?i) vs ", " vs. "))
 
-    @F.pandas_udf("string")
-    def run(names: pd.Series) -> pd.Series:
-        return names.map(lambda x: plain_name(x, known))
 
-    return run(name)
+def sides_of(entity: Column) -> Column:
+    """The names in a combined or head-to-head entity: array of (name, sign); what comes after "vs." counts against the first."""
+    versus = entity.contains(" vs. ")
+    parts = F.split(entity, r" \+ | vs\. ")
+    return F.transform(parts, lambda p, i: F.struct(F.trim(p).alias("name"), F.when(versus & (i > 0), -1).otherwise(1).alias("sign")))

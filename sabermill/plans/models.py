@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sabermill.functions import distributions as dist
-from sabermill.functions.names import normalised
 from sabermill.operators import search
 from sabermill.plans.base import query
 
@@ -66,8 +65,3 @@ def other_families(t):
     rows = rows.withColumns({"skew": skew, "double": double})
     mixed = dist.mixture([(F.lit(0.3), F.col("skew")), (F.lit(0.7), F.col("double"))])
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", *[F.round(c, 6).alias(n) for n, c in (("skew", F.col("skew")), ("double", F.col("double")), ("inflated", dist.zero_inflated(F.col("double"), F.lit(0.1), F.col("line"))), ("mixed", mixed))])
-
-
-@query("normalised_names")
-def names(t):
-    return t.customer.select("c_custkey", normalised(F.concat("c_name", F.lit(" Jr. (X)")), {"Customer#000000001": "First"}).alias("name"))
