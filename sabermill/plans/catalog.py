@@ -1,6 +1,6 @@
 """All queries of the engine."""
 
-from sabermill.plans import features, history, maintenance, models, offers, quotes, resolution  # noqa: F401
+from sabermill.plans import calibration, features, history, maintenance, models, offers, profiles, quotes, resolution  # noqa: F401
 from sabermill.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

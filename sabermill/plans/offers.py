@@ -188,7 +188,7 @@ def eligibility(t):
     return rows.join(F.broadcast(able), ["market", "position"], "left_semi").groupBy("market", "position").agg(F.count("*").alias("n"))
 
 
-@query("edge_and_match_columns", "WITH {offers} SELECT okey, lnum, price, player, round(over * boost * 1.8 - 1 + 1e-7, 4) AS edge, CASE WHEN lnum % 2 = 0 THEN 'T' || team || ' @ T' || (team + 1) ELSE 'T' || team || ' v T' || (team + 1) END AS match, 'Player ' || player AS label FROM offers")
+@query("edge_and_match_columns", "WITH {offers} SELECT okey, lnum, price, player, round(over * boost * 1.8 - 1 + 1e-7, 4) + 0.0 AS edge, CASE WHEN lnum % 2 = 0 THEN 'T' || team || ' @ T' || (team + 1) ELSE 'T' || team || ' v T' || (team + 1) END AS match, 'Player ' || player AS label FROM offers")
 def edges(t):
     home = F.concat(F.lit("T"), "team")
     away = F.concat(F.lit("T"), (c("team") + 1).cast("string"))
@@ -264,8 +264,9 @@ def parlay_dedup(t):
 @query("normalised_names", """WITH n AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name || ' Jr. (X)' WHEN 1 THEN 'José ' || c_mktsegment || ' III' WHEN 2 THEN 'a. o’neal + ' || c_name ELSE lower(c_mktsegment) || ' vs ' || c_name || ' Sr' END AS name FROM customer),
 b AS (SELECT c_custkey, regexp_replace(replace(replace(strip_accents(name), '.', ''), '’', chr(39)), '[(\\[][^)\\]]*[)\\]]', '', 'g') AS bare FROM n),
 s AS (SELECT c_custkey, bare, list_transform(string_split_regex(bare, '\\+|(?i: vs )'), lambda x: regexp_replace(trim(x), ' (Jr|Sr|II|III|IV)$', '')) AS sides FROM b),
-t AS (SELECT c_custkey, bare, list_transform(sides, lambda x: list_aggregate(list_transform(regexp_extract_all(lower(trim(x)), '[a-z]+|[^a-z]+'), lambda w: upper(w[1]) || w[2:]), 'string_agg', '')) AS sides FROM s)
-SELECT c_custkey, array_to_string(list_transform(sides, lambda x: CASE WHEN x = 'Customer#000000004' THEN 'First' ELSE x END), CASE WHEN contains(bare, '+') THEN ' + ' ELSE ' vs. ' END) AS name FROM t""")
+t AS (SELECT c_custkey, bare, list_transform(sides, lambda x: list_aggregate(list_transform(regexp_extract_all(lower(trim(x)), '[a-z]+|[^a-z]+'), lambda w: upper(w[1]) || w[2:]), 'string_agg', '')) AS sides FROM s),
+a AS (SELECT c_custkey, bare, list_transform(sides, lambda x: CASE WHEN x = 'Customer#000000004' THEN 'First' ELSE x END) AS sides FROM t)
+SELECT c_custkey, CASE WHEN contains(bare, '+') THEN array_to_string(sides, ' + ') ELSE array_to_string(sides, ' vs. ') END AS name FROM a""")
 def names(t):
     kinds = [F.concat("c_name", F.lit(" Jr. (X)")), F.concat(F.lit("José "), "c_mktsegment", F.lit(" III")), F.concat(F.lit("a. o’neal + "), "c_name"), F.concat(F.lower("c_mktsegment"), F.lit(" vs "), "c_name", F.lit(" Sr"))]
     name = F.element_at(F.array(*kinds), (c("c_custkey") % 4 + 1).cast("int"))
@@ -307,7 +308,7 @@ def partners(t):
     return best.where("k = 1").select("okey", "player", "same", "partner", "multiplier")
 
 
-@query("top_partner_per_player", f"WITH {{offers}}, {_LEGS} SELECT a.player, b.player AS partner, round({_RHO} + 1e-7, 4) AS rho FROM legs a JOIN legs b ON a.okey = b.okey AND a.player <> b.player QUALIFY row_number() OVER (PARTITION BY a.player ORDER BY {_RHO} DESC, b.player, a.okey) = 1")
+@query("top_partner_per_player", f"WITH {{offers}}, {_LEGS} SELECT a.player, b.player AS partner, round({_RHO} + 1e-7, 4) + 0.0 AS rho FROM legs a JOIN legs b ON a.okey = b.okey AND a.player <> b.player QUALIFY row_number() OVER (PARTITION BY a.player ORDER BY {_RHO} DESC, b.player, a.okey) = 1")
 def top_partner(t):
     rows = pairs_of(legs(t)).select("a.okey", "a.player", c("b.player").alias("partner"), rho().alias("rho"))
     return rows.withColumn("k", place(["player"], F.desc("rho"), "partner", "okey")).where("k = 1").select("player", "partner", r(c("rho")).alias("rho"))
