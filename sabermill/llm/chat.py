@@ -5,7 +5,8 @@
 
 Expressions: 'text', integers, true, false, none, names, m.field, m['field'], loop.first / last / index / index0, + ~ == != < <= > >= in not and or,
 ``a if c else b`` and the filters trim, upper, lower, escape, length, default(x), string. Fields are looked up in messages and ``loop`` alone; there are no calls,
-no Python attributes and no loops but over messages, so a template can neither reach the host nor run on.
+no Python attributes and no loops but over messages, so a template cannot reach the host. Nesting is at most DEPTH deep and a source at most SOURCE_CHARS long, what + and ~ join
+is at most VALUE_CHARS long, and whatever goes wrong in a template, when it is read or when it runs, is a TemplateError.
 
 A template is parsed into a tree, constant parts are folded, and each node becomes a closure. Rendering is a stream over a stream of messages, so that a conversation of any
 length takes the memory of one message.
@@ -33,6 +34,9 @@ TEMPLATE = (
 #: Rendered text is returned in parts of whole turns of about this many characters.
 PART_CHARS = 1 << 20
 
+#: Bounds of what a template may ask for.
+DEPTH, SOURCE_CHARS, VALUE_CHARS = 40, 1 << 16, 1 << 24
+
 _ESCAPE = re.compile(r"\\|" + "|".join(re.escape(c[0]) + f"(?={re.escape(c[1:])})" for c in CONTROL))
 _UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
 
@@ -66,8 +70,8 @@ _FILTERS: dict[str, Callable] = {
     "default": lambda x, other="": other if x is None else x,
 }
 _OPS: dict[str, Callable] = {
-    "+": lambda a, b: a + b,
-    "~": lambda a, b: _text(a) + _text(b),
+    "+": lambda a, b: _joined(a, b),
+    "~": lambda a, b: _joined(_text(a), _text(b)),
     "==": lambda a, b: a == b,
     "!=": lambda a, b: a != b,
     "<": lambda a, b: a < b,
@@ -82,11 +86,25 @@ def _text(x) -> str:
     return "" if x is None else str(x)
 
 
+def _joined(a, b):
+    if isinstance(a, str) and isinstance(b, str) and len(a) + len(b) > VALUE_CHARS:
+        raise TemplateError(f"a value of over {VALUE_CHARS} characters")
+    return a + b
+
+
+def _safe(f: Callable, *args):
+    """What a template's own mistakes raise is its error, not the engine's."""
+    try:
+        return f(*args)
+    except (TypeError, ValueError, AttributeError) as error:
+        raise error if isinstance(error, TemplateError) else TemplateError(str(error)) from error
+
+
 class _Expression:
     """Recursive descent over one expression's tokens."""
 
     def __init__(self, source: str) -> None:
-        self.tokens, at = [], 0
+        self.tokens, at, self.depth = [], 0, 0
         source = source.strip()
         while at < len(source):
             m = _TOKEN.match(source, at)
@@ -115,71 +133,86 @@ class _Expression:
             raise TemplateError(f"left over: {self.tokens[self.at][1]!r}")
         return out
 
+    def deeper(self, parse: Callable):
+        self.depth += 1
+        if self.depth > DEPTH:
+            raise TemplateError(f"an expression nested over {DEPTH} deep")
+        out = parse()
+        self.depth -= 1
+        return out
+
     def choice(self):
         value = self.either()
         if self.take("if"):
             test = self.either()
-            other = self.choice() if self.take("else") else ("const", "")
+            other = self.deeper(self.choice) if self.take("else") else ("const", "")
             return ("cond", test, value, other)
         return value
 
-    def either(self):
-        out = self.both()
-        while self.take("or"):
-            out = ("or", out, self.both())
+    def chained(self, part: Callable, joints: tuple[str, ...], node: Callable):
+        """Parts joined from the left; a tree is as deep as its chain, so chains count as nesting."""
+        out, links = part(), 0
+        while (joint := self.peek()) in joints:
+            self.at += 1
+            links += 1
+            if links > DEPTH:
+                raise TemplateError(f"a chain of over {DEPTH} {joint!r}")
+            out = node(joint, out, part())
         return out
 
+    def either(self):
+        return self.chained(self.both, ("or",), lambda _, a, b: ("or", a, b))
+
     def both(self):
-        out = self.negated()
-        while self.take("and"):
-            out = ("and", out, self.negated())
-        return out
+        return self.chained(self.negated, ("and",), lambda _, a, b: ("and", a, b))
 
     def negated(self):
-        return ("not", self.negated()) if self.take("not") else self.compared()
+        return ("not", self.deeper(self.negated)) if self.take("not") else self.compared()
 
     def compared(self):
-        out = self.joined()
-        while (op := self.peek()) in ("==", "!=", "<", "<=", ">", ">=", "in", "not"):
-            self.at += 1
-            if op == "not":
-                self.need("in")
-                out = ("not", ("op", "in", out, self.joined()))
-            else:
-                out = ("op", op, out, self.joined())
-        return out
+        def node(op: str, a, b):
+            return ("not", ("op", "in", a, b)) if op == "not" else ("op", op, a, b)
+
+        def side():
+            if self.at and self.tokens[self.at - 1] == ("name", "not") and self.peek() == "in":
+                self.at += 1
+            elif self.at and self.tokens[self.at - 1] == ("name", "not") and self.at != start:
+                raise TemplateError("'in' is missing")
+            return self.joined()
+
+        start = self.at
+        return self.chained(side, ("==", "!=", "<", "<=", ">", ">=", "in", "not"), node)
 
     def joined(self):
-        out = self.filtered()
-        while (op := self.peek()) in ("+", "~"):
-            self.at += 1
-            out = ("op", op, out, self.filtered())
-        return out
+        return self.chained(self.filtered, ("+", "~"), lambda op, a, b: ("op", op, a, b))
 
     def filtered(self):
-        out = self.reached()
+        out, links = self.reached(), 0
         while self.take("|"):
-            name = self.name()
+            name, links = self.name(), links + 1
+            if links > DEPTH:
+                raise TemplateError(f"a chain of over {DEPTH} filters")
             if name not in _FILTERS:
                 raise TemplateError(f"no filter {name!r}")
             args = []
             if self.take("("):
                 while not self.take(")"):
-                    args.append(self.choice())
+                    args.append(self.deeper(self.choice))
                     self.take(",")
             out = ("filter", name, out, tuple(args))
         return out
 
     def reached(self):
         out = self.atom()
-        while True:
+        for _ in range(DEPTH):
             if self.take("."):
                 out = ("field", out, ("const", self.name()))
             elif self.take("["):
-                out = ("field", out, self.choice())
+                out = ("field", out, self.deeper(self.choice))
                 self.need("]")
             else:
                 return out
+        raise TemplateError(f"a chain of over {DEPTH} fields")
 
     def name(self) -> str:
         kind, value = self.tokens[self.at] if self.at < len(self.tokens) else ("", "")
@@ -192,7 +225,7 @@ class _Expression:
         if self.at >= len(self.tokens):
             raise TemplateError("an expression ends too early")
         if self.take("("):
-            out = self.choice()
+            out = self.deeper(self.choice)
             self.need(")")
             return out
         kind, value = self.tokens[self.at]
@@ -200,7 +233,7 @@ class _Expression:
         if kind == "str":
             return ("const", re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), value[1:-1], flags=re.DOTALL))
         if kind == "int":
-            return ("const", int(value))
+            return ("const", _safe(int, value))
         if kind == "name":
             return ("const", _WORDS[value]) if value in _WORDS else ("name", value)
         raise TemplateError(f"unexpected {value!r}")
@@ -208,6 +241,8 @@ class _Expression:
 
 def parse(source: str) -> list:
     """The syntax tree of a template."""
+    if len(source) > SOURCE_CHARS:
+        raise TemplateError(f"a template of over {SOURCE_CHARS} characters")
     pieces, at = [], 0
     for m in _BLOCK.finditer(source):
         if m.start() > at:
@@ -225,7 +260,9 @@ def parse(source: str) -> list:
     return body
 
 
-def _body(pieces: list, at: int, until: tuple[str, ...]) -> tuple[list, int, str]:
+def _body(pieces: list, at: int, until: tuple[str, ...], depth: int = 0) -> tuple[list, int, str]:
+    if depth > DEPTH:
+        raise TemplateError(f"tags nested over {DEPTH} deep")
     out: list = []
     while at < len(pieces):
         kind, value = pieces[at]
@@ -237,7 +274,7 @@ def _body(pieces: list, at: int, until: tuple[str, ...]) -> tuple[list, int, str
             word, _, rest = value.partition(" ")
             if word in until:
                 return out, at, value
-            at = _statement(word, rest.strip(), pieces, at, out)
+            at = _statement(word, rest.strip(), pieces, at, out, depth + 1)
             continue
         at += 1
     if until:
@@ -245,23 +282,23 @@ def _body(pieces: list, at: int, until: tuple[str, ...]) -> tuple[list, int, str
     return out, at, ""
 
 
-def _statement(word: str, rest: str, pieces: list, at: int, out: list) -> int:
+def _statement(word: str, rest: str, pieces: list, at: int, out: list, depth: int) -> int:
     if word == "for":
         m = re.fullmatch(r"([A-Za-z_]\w*)\s+in\s+messages", rest)
         if not m:
             raise TemplateError("loops go over messages alone")
-        body, at, _ = _body(pieces, at + 1, ("endfor",))
+        body, at, _ = _body(pieces, at + 1, ("endfor",), depth)
         out.append(("for", m[1], body))
     elif word == "if":
         arms, other, test = [], [], _Expression(rest).whole()
         while True:
-            body, at, end = _body(pieces, at + 1, ("elif", "else", "endif"))
+            body, at, end = _body(pieces, at + 1, ("elif", "else", "endif"), depth)
             arms.append((test, body))
             if end.startswith("elif"):
                 test = _Expression(end[4:]).whole()
                 continue
             if end == "else":
-                other, at, _ = _body(pieces, at + 1, ("endif",))
+                other, at, _ = _body(pieces, at + 1, ("endif",), depth)
             break
         out.append(("if", arms, other))
     elif word == "set":
@@ -270,7 +307,7 @@ def _statement(word: str, rest: str, pieces: list, at: int, out: list) -> int:
             raise TemplateError("set needs a name and a value")
         out.append(("set", name.strip(), _Expression(value).whole()))
     elif word == "generation":
-        body, at, _ = _body(pieces, at + 1, ("endgeneration",))
+        body, at, _ = _body(pieces, at + 1, ("endgeneration",), depth)
         out.append(("gen", body))
     else:
         raise TemplateError(f"no tag {word!r}")
@@ -322,10 +359,7 @@ def _folded(e: tuple) -> tuple:
     done = (e[0], *parts)
     inner = [x for x in parts if isinstance(x, tuple) and x and isinstance(x[0], str)] + [y for x in parts if isinstance(x, tuple) and x and isinstance(x[0], tuple) for y in x]
     if e[0] != "field" and all(x[0] == "const" for x in inner):
-        try:
-            return ("const", _value(done)({}))
-        except TypeError as error:
-            raise TemplateError(str(error)) from error
+        return ("const", _value(done)({}))
     return done
 
 
@@ -343,12 +377,12 @@ def _value(e: tuple) -> Callable[[dict], object]:
             found = of(env)
             if not isinstance(found, dict):
                 raise TemplateError("only messages and loop have fields")
-            return found.get(key(env))
+            return _safe(found.get, key(env))
 
         return field
     if kind == "op":
         f, a, b = _OPS[e[1]], _value(e[2]), _value(e[3])
-        return lambda env: f(a(env), b(env))
+        return lambda env: _safe(f, a(env), b(env))
     if kind == "not":
         a = _value(e[1])
         return lambda env: not a(env)
@@ -359,7 +393,7 @@ def _value(e: tuple) -> Callable[[dict], object]:
         c, a, b = map(_value, e[1:])
         return lambda env: a(env) if c(env) else b(env)
     f, a, args = _FILTERS[e[1]], _value(e[2]), [_value(x) for x in e[3]]
-    return lambda env: f(a(env), *[x(env) for x in args])
+    return lambda env: _safe(f, a(env), *[x(env) for x in args])
 
 
 Chunk = tuple[str, bool]
@@ -513,7 +547,13 @@ def read_back(parts: DataFrame) -> DataFrame:
                     loss.update(text.encode())
                     chars += len(text)
             out.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), total))
+            if len(out) == 5000:
+                yield digests(out)
+                out = []
+        yield digests(out)
+
+    def digests(out: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     return parts.select("conv_id", "formatted", "spans").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -38,6 +38,23 @@ def test_sandbox(bad):
         chat.Template(bad).render([])
 
 
+DOUBLING = "{% set a = 'abcdefgh' %}" + "{% set a = a ~ a %}" * 40 + "{{ a }}"
+
+
+@pytest.mark.parametrize("bad", [DOUBLING, "{{ " + "(" * 5000 + "1" + ")" * 5000 + " }}", "{{ " + "not " * 5000 + "1 }}", "{{ 1" + " + 1" * 5000 + " }}", "{{ x" + ".y" * 5000 + " }}", "{{ x" + " | trim" * 500 + " }}", "{% if 1 %}" * 500 + "{% endif %}" * 500,
+    "{{ " + "9" * 5000 + " }}", "{{ 'a' < 1 }}", "{{ 1 + 'a' }}", "{{ 'a' | default('b', 'c') }}", "{{ 1 not 2 }}", "x" * (1 << 17)])
+def test_bounds(bad):
+    with pytest.raises(chat.TemplateError):
+        chat.Template(bad).render([])
+
+
+def test_errors_at_run_time():
+    for bad in ("{% for m in messages %}{{ m.text < 1 }}{% endfor %}", "{% for m in messages %}{{ m.text + 1 }}{% endfor %}", "{% for m in messages %}{{ m[m] }}{% endfor %}"):
+        with pytest.raises(chat.TemplateError):
+            chat.Template(bad).render([{"role": "r", "text": "x"}])
+    assert chat.Template("{{ 'a' if 'b' not in 'cd' and not 1 > 2 else 'n' }}").render([])[0] == "a"
+
+
 def test_no_python_attributes():
     with pytest.raises(chat.TemplateError):
         chat.Template("{% set x = 'a' %}{{ x.__class__ }}").render([])
