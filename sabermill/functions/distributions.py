@@ -17,23 +17,39 @@ def normal_cdf(x: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + _ERF((x - mean) / (sd * math.sqrt(2))).astype(float))
 
 
+#: Cells (row, term) of a distribution's terms that are held at a time.
+CELLS = 1 << 21
+
+
+def _alike(size: np.ndarray):
+    """Groups of rows whose numbers of terms differ little, so that one row with many terms costs no other row any; each group's table stays within CELLS, or is one row."""
+    order = np.argsort(size, kind="stable")
+    lo = 0
+    while lo < len(order):
+        hi = int(np.searchsorted(size[order], 2 * max(size[order[lo]], 32), "right"))
+        hi = max(lo + 1, min(hi, lo + int(CELLS // max(size[order[hi - 1]], 1))))
+        yield order[lo:hi]
+        lo = hi
+
+
 def _sum_pmf(k: np.ndarray, log_pmf) -> np.ndarray:
-    """Sum of a pmf from 0 to k, all rows at once."""
-    top = int(np.nanmax(k, initial=-1))
-    out = np.zeros(len(k))
-    for i in range(top + 1):
-        out += np.where(i <= k, np.exp(log_pmf(i)), 0.0)
-    return np.minimum(out, 1.0)
+    """Sum of a pmf from 0 to k; ``log_pmf`` takes a number and the rows it is for."""
+    out, n = np.zeros(len(k)), np.where(np.isnan(k), -1, np.maximum(k, -1))
+    for rows in _alike(n + 1):
+        for i in range(int(n[rows].max(initial=-1)) + 1):
+            out[rows] += np.where(i <= n[rows], np.exp(log_pmf(i, rows)), 0.0)
+    return np.where(np.isnan(k), np.nan, np.minimum(out, 1.0))
 
 
 def poisson_cdf(k: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    return _sum_pmf(k, lambda i: i * np.log(mean) - mean - math.lgamma(i + 1))
+    log = np.log(mean)
+    return _sum_pmf(k, lambda i, rows: i * log[rows] - mean[rows] - math.lgamma(i + 1))
 
 
 def negbin_cdf(k: np.ndarray, mean: np.ndarray, size: np.ndarray) -> np.ndarray:
     p = size / (size + mean)
     base = _LGAMMA(size).astype(float)
-    return _sum_pmf(k, lambda i: _LGAMMA(size + i).astype(float) - base - math.lgamma(i + 1) + size * np.log(p) + i * np.log1p(-p))
+    return _sum_pmf(k, lambda i, rows: _LGAMMA(size[rows] + i).astype(float) - base[rows] - math.lgamma(i + 1) + size[rows] * np.log(p[rows]) + i * np.log1p(-p[rows]))
 
 
 def gamma_cdf(x: np.ndarray, mean: np.ndarray, shape: np.ndarray, terms: int = 400) -> np.ndarray:
@@ -49,9 +65,16 @@ def gamma_cdf(x: np.ndarray, mean: np.ndarray, shape: np.ndarray, terms: int = 4
 
 
 def double_poisson_cdf(k: np.ndarray, mean: np.ndarray, precision: np.ndarray) -> np.ndarray:
-    """Double Poisson of an exact mean, normalised over a grid of 12 standard deviations past all means and points; its location is found by 50 bisections."""
-    sd = np.sqrt(mean / np.minimum(precision, 1))
-    y = np.arange(int(max(np.max(mean + 12 * sd, initial=0), np.max(k, initial=0))) + 13, dtype=float)
+    """Double Poisson of an exact mean, normalised over a grid of 12 standard deviations past the means and points of rows alike; its location is found by 50 bisections."""
+    out = np.zeros(len(k))
+    reach = np.maximum(mean + 12 * np.sqrt(mean / np.minimum(precision, 1)), k) + 13
+    for rows in _alike(reach):
+        out[rows] = _double_poisson(k[rows], mean[rows], precision[rows], int(reach[rows].max()))
+    return out
+
+
+def _double_poisson(k: np.ndarray, mean: np.ndarray, precision: np.ndarray, top: int) -> np.ndarray:
+    y = np.arange(top, dtype=float)
     ylogy = y * np.log(np.maximum(y, 1))
     base = ylogy - y - np.array([math.lgamma(v + 1) for v in y])
 
@@ -118,12 +141,12 @@ def mean_from_price(family: pd.Series, line: pd.Series, under: pd.Series, shape:
 def poisson_crps(mean: pd.Series, actual: pd.Series) -> pd.Series:
     """Sum over k of (F(k) - 1{actual <= k}) squared."""
     m, a = mean.to_numpy(float), actual.to_numpy(float)
-    top = int(max(np.max(m + 12 * np.sqrt(m), initial=0), np.max(a, initial=0))) + 12
-    out, cdf, pmf = np.zeros(len(m)), np.zeros(len(m)), np.exp(-m)
-    for k in range(top):
-        cdf = np.minimum(cdf + pmf, 1)
-        out += (cdf - (a <= k)) ** 2
-        pmf = pmf * m / (k + 1)
+    out, reach = np.zeros(len(m)), np.maximum(m + 12 * np.sqrt(m), a) + 12
+    for rows in _alike(reach):
+        cdf, one, x = np.zeros(len(rows)), m[rows], a[rows]
+        for k in range(int(reach[rows].max())):
+            cdf = np.minimum(cdf + np.exp(k * np.log(one) - one - math.lgamma(k + 1)), 1)
+            out[rows] += (cdf - (x <= k)) ** 2
     return pd.Series(out)
 
 

@@ -115,21 +115,21 @@ def scorecard(t):
     return t.history.groupBy("platform").agg(F.count("*").alias("n"), r(F.avg(F.abs(F.col("actual") - F.col("line")))).alias("mae"), r(bias).alias("bias"), r(F.stddev_pop("line") / F.stddev_pop("actual")).alias("sd_ratio"), r(F.corr("actual", "line")).alias("r"), r(F.abs(bias) / F.stddev_samp("actual")).alias("bias_z"))
 
 
-@query("classification_auc", """WITH {history}, k AS (SELECT league, CAST(hit AS INTEGER) AS y, rank() OVER (PARTITION BY league ORDER BY s) + (count(*) OVER (PARTITION BY league, s) - 1) / 2.0 AS rk FROM (SELECT market AS league, platform % 2 = 0 AS hit, CAST(line AS INTEGER) AS s FROM history))
+@query("classification_auc", """WITH {history}, k AS (SELECT league, CAST(hit AS INTEGER) AS y, rank() OVER (PARTITION BY league ORDER BY s) + (count(*) OVER (PARTITION BY league, s) - 1) / 2.0 AS rk FROM (SELECT market AS league, actual > line AS hit, round(prob, 6) AS s FROM history))
 SELECT league AS market, round((sum(y * rk) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)) + 1e-7, 4) AS auc FROM k GROUP BY league""")
 def classification(t):
-    rows = t.history.select("market", (F.col("platform") % 2 == 0).alias("y"), F.col("line").cast("int").alias("s"))
+    rows = t.history.select("market", (F.col("actual") > F.col("line")).alias("y"), F.round("prob", 6).alias("s"))
     return agg.auc(rows, ["market"], "s", "y").select("market", r(F.col("auc")).alias("auc"))
 
 
-@query("wilson_deciles", """WITH {history}, k AS (SELECT league, prob, CAST(hit AS INTEGER) AS y, row_number() OVER (PARTITION BY platform ORDER BY prob, player, okey, lnum, line, actual, day) AS rn, count(*) OVER (PARTITION BY platform) AS n, platform FROM history),
-g AS (SELECT platform, CAST(greatest(ceil((rn - 1) * 10.0 / greatest(n - 1, 1)) - 1, 0) AS BIGINT) AS bin, count(*) AS n, avg(prob) AS p, avg(platform % 2 + rn % 2) / 2 AS y FROM k GROUP BY ALL)
+@query("wilson_deciles", """WITH {history}, k AS (SELECT league, prob, CAST(actual > line AS INTEGER) AS y, row_number() OVER (PARTITION BY platform ORDER BY prob, player, okey, lnum, line, actual, day) AS rn, count(*) OVER (PARTITION BY platform) AS n, platform FROM history),
+g AS (SELECT platform, CAST(greatest(ceil((rn - 1) * 10.0 / greatest(n - 1, 1)) - 1, 0) AS BIGINT) AS bin, count(*) AS n, avg(prob) AS p, avg(y) AS y FROM k GROUP BY ALL)
 SELECT platform, bin, n, round(p + 1e-7, 4) AS predicted, round((y + 1.9208 / n - 1.96 * sqrt(greatest(y * (1 - y), 0) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n) + 1e-7, 4) AS low, round((y + 1.9208 / n + 1.96 * sqrt(greatest(y * (1 - y), 0) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n) + 1e-7, 4) AS high FROM g""")
 def wilson(t):
     part = Window.partitionBy("platform")
     rn, total = F.row_number().over(part.orderBy("prob", "player", "okey", "lnum", "line", "actual", "day")), F.count(F.lit(1)).over(part)
     k = t.history.withColumn("rn", rn).withColumn("bin", F.greatest(F.ceil((F.col("rn") - 1) * 10.0 / F.greatest(total - 1, F.lit(1))) - 1, F.lit(0)).cast("long"))
-    g = k.groupBy("platform", "bin").agg(F.count("*").alias("n"), F.avg("prob").alias("p"), (F.avg(F.col("platform") % 2 + F.col("rn") % 2) / 2).alias("y"))
+    g = k.groupBy("platform", "bin").agg(F.count("*").alias("n"), F.avg("prob").alias("p"), F.avg((F.col("actual") > F.col("line")).cast("int")).alias("y"))
     y, n = F.col("y"), F.col("n")
     half = 1.96 * F.sqrt(F.greatest(y * (1 - y), F.lit(0.0)) / n + 0.9604 / (n * n))
     return g.select("platform", "bin", "n", r(F.col("p")).alias("predicted"), r((y + 1.9208 / n - half) / (1 + 3.8416 / n)).alias("low"), r((y + 1.9208 / n + half) / (1 + 3.8416 / n)).alias("high"))

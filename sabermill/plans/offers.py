@@ -101,12 +101,13 @@ def ladder_append(t):
 
 # ---- filters
 
-LENSES: dict[str, Column] = {
-    "best": c("over") * c("boost") > 0.7,
-    "sharp": F.abs(c("over") - c("sharp")) <= 0.05,
-    "longshots": (c("over") < 0.35) & (c("boost") > 1),
-    "unboosted": F.abs(c("boost") - 1) < 0.011,
-    "heavy": c("proj") > 1.5 * c("line"),
+#: Preset predicates; a session is only needed where they are used.
+LENSES = {
+    "best": "over * boost > 0.7",
+    "sharp": "abs(over - sharp) <= 0.05D",
+    "longshots": "over < 0.35D AND boost > 1",
+    "unboosted": "abs(boost - 1) < 0.011D",
+    "heavy": "proj > 1.5 * line",
 }
 
 
@@ -117,7 +118,7 @@ UNION ALL SELECT 'unboosted', player FROM offers WHERE abs(boost - 1) < 0.011 UN
 def lenses(t):
     """All lenses in one pass: an offer is counted under each lens that it passes; the soonest day is a scalar beside them."""
     soonest = t.offers.where("day >= DATE '1999-01-01'").agg(F.min("day").alias("soonest"))
-    tests = LENSES | {"soonest": c("day") == c("soonest")}
+    tests = {name: F.expr(test) for name, test in LENSES.items()} | {"soonest": c("day") == c("soonest")}
     named = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()]))
     rows = t.offers.join(F.broadcast(soonest)).select("player", F.explode(named).alias("lens"))
     return rows.groupBy("lens").agg(F.count("*").alias("n"), F.countDistinct("player").alias("players"))
@@ -374,7 +375,7 @@ def role_tiers(t):
 
 @query("entry_building", f"""WITH {{offers}}, {_LEGS}, l AS (SELECT okey, player, team, over, 0.5 + (over - 0.5) * CASE market WHEN 'O' THEN 0.8 ELSE 0.6 END AS p, CASE market WHEN 'O' THEN 0.8 ELSE 0.6 END AS shrink FROM legs WHERE over >= 0.4),
 e AS (SELECT okey AS entry, count(*) AS size, exp(sum(ln(p))) * pow(1.9, count(*)) AS value, min(shrink) AS shrink, count(DISTINCT team) AS teams FROM l GROUP BY okey)
-SELECT entry, size, round(value + 1e-7, 4) AS value, shrink, round(floor(greatest((value - 1) / 4, 0) * shrink * 10000 + 1e-6) / 100, 2) AS stake FROM e WHERE size BETWEEN 2 AND 6 AND teams >= 2 AND value > 1.01""")
+SELECT entry, size, round(value + 1e-7, 4) AS value, CAST(shrink AS DOUBLE) AS shrink, round(floor(greatest((value - 1) / 4, 0) * shrink * 10000 + 1e-6) / 100, 2) AS stake FROM e WHERE size BETWEEN 2 AND 6 AND teams >= 2 AND value > 1.01""")
 def entries(t):
     """Legs that pass make one entry a game; the least trust among its legs shrinks the stake; entries need legs of two teams."""
     trust = F.create_map(*[F.lit(x) for pair in SHRINK.items() for x in pair])[c("leg.market")]

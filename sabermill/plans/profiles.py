@@ -202,7 +202,7 @@ def pass_rate(t):
 
 @query("coverage_buckets", """WITH b AS (SELECT user_id AS player, unnest(['man', 'zone', 'deep']) AS bucket, unnest([k % 3, k % 5, k % 2]) AS routes, value FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))
 SELECT player, round(sum(routes * value) FILTER (bucket = 'man') / nullif(sum(routes) FILTER (bucket = 'man'), 0) + 1e-7, 4) AS man, round(sum(routes * value) FILTER (bucket = 'zone') / nullif(sum(routes) FILTER (bucket = 'zone'), 0) + 1e-7, 4) AS zone,
-round(sum(routes * value) FILTER (bucket = 'deep') / nullif(sum(routes) FILTER (bucket = 'deep'), 0) + 1e-7, 4) AS deep, sum(routes) AS routes FROM b GROUP BY player""")
+round(sum(routes * value) FILTER (bucket = 'deep') / nullif(sum(routes) FILTER (bucket = 'deep'), 0) + 1e-7, 4) AS deep, CAST(sum(routes) AS BIGINT) AS routes FROM b GROUP BY player""")
 def coverage(t):
     """Yield per route in each bucket of a nested count, by one recipe for all of them."""
     k = F.from_json("props", "map<string,bigint>")["k"]

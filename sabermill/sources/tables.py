@@ -39,25 +39,64 @@ def feed_outcomes(events: DataFrame) -> DataFrame:
 
 
 def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON-lines ledger. A torn last line of a file is skipped, any other bad line is an error."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    torn = F.col("_corrupt_record").isNotNull() & F.col("_corrupt_record").rlike(r"\}\s*$")
-    checked = rows.withColumn("_bad", F.when(torn, F.raise_error(F.concat(F.lit("bad ledger line: "), F.col("_corrupt_record")))))
-    return checked.where("_corrupt_record IS NULL AND _bad IS NULL").drop("_corrupt_record", "_bad")
-
-
-def replace_table(df: DataFrame, path: str) -> None:
-    """Writes beside the table, then renames: readers see the old table or the new one, and ``df`` may read the table itself."""
-    spark = df.sparkSession
-    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
+    """A JSON-lines ledger. A torn last line of a file, one without a line end, is skipped; any other bad line is an error, raised here.
+
+    Bad lines are looked for once, and of a file that has one only its last bytes are read on the driver.
+    """
+    lines = spark.read.text(path).where("trim(value) <> ''").select("value", F.col("_metadata.file_path").alias("_file"))
+    parsed = lines.select("_file", "value", F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("_row"))
+    bad = parsed.where("_row._corrupt IS NOT NULL").groupBy("_file").agg(F.count("*").alias("n"), F.min("value").alias("line"))
+    torn = [r["_file"] for r in bad.toLocalIterator() if _is_torn(spark, r["_file"], r["line"], r["n"])]
+    good = parsed.where("_row._corrupt IS NULL") if torn else parsed
+    return good.select("_row.*").drop("_corrupt")
+
+
+def _is_torn(spark: SparkSession, file: str, line: str, n: int) -> bool:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    raw = line.encode()
+    size = fs.getFileStatus(at).getLen()
+    stream = fs.open(at)
+    try:
+        stream.seek(max(0, size - len(raw)))
+        end = bytes(stream.readNBytes(len(raw)))
+    finally:
+        stream.close()
+    if n > 1 or end != raw:
+        raise ValueError(f"bad ledger line in {file}: {line}")
+    return True
+
+
+def _swap(spark: SparkSession, fresh: str, path: str) -> None:
+    """Puts ``fresh`` in the place of ``path``; if that fails, what was there is put back."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path
     fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(p(path)):
-        fs.rename(p(path), p(old))
-    fs.rename(p(fresh), p(path))
-    fs.delete(p(old), True)
+    old = f"{path}.old-{uuid.uuid4().hex}"
+    had = fs.exists(p(path))
+    if had and not fs.rename(p(path), p(old)):
+        raise OSError(f"{path} could not be moved away")
+    try:
+        if not fs.rename(p(fresh), p(path)):
+            raise OSError(f"{fresh} could not be moved to {path}")
+    except Exception:
+        if had and not fs.exists(p(path)):
+            fs.rename(p(old), p(path))
+        raise
+    if had:
+        fs.delete(p(old), True)
+
+
+def replace_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """Writes a Parquet, JSON or CSV table beside the old one and then moves both; ``df`` may read the table itself.
+
+    A reader never sees a half-written table. Between the two moves there is none for a moment; if the second one fails, the old table is put back and the error raised.
+    """
+    fresh = f"{path}.new-{uuid.uuid4().hex}"
+    writer = df.write.option("header", True) if kind == "csv" else df.write
+    writer.format(kind).save(fresh)
+    _swap(df.sparkSession, fresh, path)
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -27,3 +27,24 @@ def drain(result: DataFrame, name: str, checkpoint: str, mode: str = "complete")
     query = result.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def closing_pass(stream: DataFrame, events: DataFrame, now: str, soon: int = 5, late: int = 25) -> DataFrame:
+    """Quotes of events that start between ``soon`` and ``late`` minutes after ``now``; ``events``: (event, starts), the day's, so it is joined as a small static side."""
+    at = F.lit(now).cast("timestamp_ntz")
+    minutes = (F.unix_timestamp(F.col("starts").cast("timestamp")) - F.unix_timestamp(at.cast("timestamp"))) / 60
+    return stream.join(events.where((minutes >= soon) & (minutes <= late)), "event")
+
+
+def append_batches(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
+    """Appends new rows to a table, a batch at a time, without rows whose key the table has; waits until all that is there now is in."""
+
+    def add(batch: DataFrame, _: int) -> None:
+        from sabermill.sources.tables import read_parquet_safe
+
+        have = read_parquet_safe(batch.sparkSession, path, batch.schema, keys).distinct()
+        batch.dropDuplicates(keys).join(have, keys, "left_anti").write.mode("append").parquet(path)
+
+    query = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
