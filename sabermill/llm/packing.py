@@ -90,14 +90,23 @@ class Mixture:
         """For each (window, queue): the queue's first token there, and that token's place in the window (queues follow each other)."""
         step, first, place = max(1, CELLS // len(self.p)), [], []
         for i in range(0, len(windows), step):
-            w, back = np.unique(windows[i : i + step], return_inverse=True)
-            q, row = queue[i : i + step], np.arange(len(back))
-            low = self.served(w)
-            ahead = np.cumsum(self.served(w + 1) - low, axis=1)
-            first.append(low[back, q])
-            place.append(np.where(q > 0, ahead[back, np.maximum(q - 1, 0)], 0)[row])
+            w, q = windows[i : i + step], queue[i : i + step]
+            known = np.unique(np.concatenate([w, w + 1]))
+            served = self.served(known)
+            row = np.searchsorted(known, w)
+            first.append(served[row, q])
+            ahead = np.concatenate([np.zeros((len(known), 1), np.int64), np.cumsum(served, axis=1)], axis=1)  # tokens of the queues before
+            place.append(ahead[np.searchsorted(known, w + 1), q] - ahead[row, q])
         return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, place))
 
+    def begins(self, windows: np.ndarray, queue: np.ndarray) -> np.ndarray:
+        """For each (window, queue): the queue's tokens served before it."""
+        step, out = max(1, CELLS // len(self.p)), []
+        for i in range(0, len(windows), step):
+            known, row = np.unique(windows[i : i + step], return_inverse=True)
+            out.append(self.served(known)[row, queue[i : i + step]])
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
     def cuts(self, queue: int, first: int, end: int) -> np.ndarray:
         """Tokens of a queue in first + 1 .. end - 1 with which a window begins: by windows or by tokens, whichever are fewer, so the work never exceeds the tokens given."""
         q = np.array([queue, queue])
@@ -221,10 +230,9 @@ def _pieces(batch: pa.RecordBatch, mixture: Mixture, rank: dict[str, int]) -> It
     at, n = np.asarray(batch.column(2)), np.asarray(batch.column(3))
     end = at + n
     split = mixture.window_of(np.concatenate([queue, queue]), np.concatenate([at, end - 1])).reshape(2, -1)
-    raw, rows, firsts, held = batch.column(4), [], [], 0
+    raw = batch.column(4)
 
-    def out() -> pa.RecordBatch:
-        row, first = np.repeat(np.array(rows), [len(f) for f in firsts]), np.concatenate(firsts)
+    def out(row: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
         size = np.where(np.append(row[1:] != row[:-1], True), end[row], np.append(first[1:], 0)) - first
         w = mixture.window_of(queue[row], first)
         begin, place = mixture.starts(w, queue[row])
@@ -239,16 +247,26 @@ def _pieces(batch: pa.RecordBatch, mixture: Mixture, rank: dict[str, int]) -> It
             ["doc_id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
         )
 
-    for i in range(len(n)):
-        inside = mixture.cuts(int(queue[i]), int(at[i]), int(end[i])) if split[0, i] != split[1, i] else np.zeros(0, np.int64)
-        rows.append(i)
-        firsts.append(np.concatenate([at[i : i + 1], inside]))
-        held += len(firsts[-1])
-        if held >= PIECES:
-            yield out()
-            rows, firsts, held = [], [], 0
-    if rows:
-        yield out()
+    # documents that span few windows have their cuts worked out together; the windows of the others outnumber their tokens
+    spans = split[1] - split[0]
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(np.cumsum(np.minimum(spans[lo:], n[lo:])), PIECES, "right")) + lo)
+        few = np.flatnonzero(spans[lo:hi] <= n[lo:hi]) + lo
+        row = np.repeat(few, spans[few])
+        w = np.arange(len(row)) - np.repeat(np.cumsum(spans[few]) - spans[few], spans[few]) + split[0][row] + 1
+        token = mixture.begins(w, queue[row])
+        on = (token > at[row]) & (token < end[row])
+        rows, tokens = [np.arange(lo, hi), row[on]], [at[lo:hi], token[on]]
+        for i in (np.flatnonzero(spans[lo:hi] > n[lo:hi]) + lo).tolist():
+            tokens.append(mixture.cuts(int(queue[i]), int(at[i]), int(end[i])))
+            rows.append(np.full(len(tokens[-1]), i))
+        row, first = np.concatenate(rows), np.concatenate(tokens)
+        order = np.lexsort((first, row))
+        row, first = row[order], first[order]
+        new = np.append(True, (row[1:] != row[:-1]) | (first[1:] != first[:-1]))  # a window without a token of the queue begins where the next one does
+        yield out(row[new], first[new])
+        lo = hi
 
 
 def _wide(ids: bytes, n: int) -> bytes:
