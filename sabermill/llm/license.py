@@ -1,7 +1,8 @@
-"""Licence scan: sparse TF-IDF cosine of lines and whole files to templates, then inheritance from the nearest ancestor directory.
+"""Licence scan: sparse TF-IDF cosine of blocks of lines and whole files to templates, then inheritance from the nearest ancestor directory.
 
-DataFrame functions only. Weights are boolean term frequency times idf = ln((1 + N) / (1 + df)) + 1, with df counted over all files for the templates' terms; every other
-distinct term of a line has df 0, so that foreign words lower the cosine. Templates and the idf of their terms are the only data on the driver.
+DataFrame functions only. Weights are boolean term frequency times idf = ln((1 + N) / (1 + df)) + 1, with df counted over all files for every term of every block that is compared, so that common words
+lower a cosine little. Blocks are windows of adjacent lines in a few sizes. A block can only reach the least cosine with a template if the terms that they share weigh enough by
+themselves, whatever else it says; blocks that fail this are left out before document frequencies are looked up. Templates and the idf of their terms are the only data on the driver.
 """
 
 from __future__ import annotations
@@ -13,18 +14,32 @@ from pyspark.sql import DataFrame, functions as F
 
 from sabermill.llm.shared import Scratch
 
-#: The notices looked for, by licence.
+#: The notices looked for, by licence; several texts of one licence are parted by the names after the slash.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "Apache-2.0/header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+    "See the License for the specific language governing permissions and limitations under the License.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted.",
+    "BSD-3-Clause/text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions "
+    "and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-4.0/long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0/header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. "
+    "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
     "MIT": "Released under the MIT License.",
+    "MIT/text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, "
+    "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be "
+    "included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "MPL-2.0/header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Proprietary": "All rights reserved.",
 }
 
-#: Least cosine of a line, and of a whole file that counts as the licence file of its directory.
-LINE, FILE = 0.75, 0.35
+#: Least cosine of a block, and of a whole file that counts as the licence file of its directory; lines of a block.
+LINE, FILE, BLOCKS = 0.75, 0.35, (1, 4, 10)
 
 _SPLIT = "[^a-z0-9]+"
 
@@ -53,10 +68,11 @@ def _needed(own: dict[str, list[str]], weight: dict[str, float]) -> list[str]:
 def license_scan(files: DataFrame, scratch: Scratch, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """(id, path, license, origin, similarity, matched_lines) of each file.
 
-    ``origin``: 'header' (a line of the file is at least LINE from a template: the best such), 'inherited' (the nearest directory at or above the file's that has a licence file
-    gives its licence; a licence file has such a line and is as a whole at least FILE from its template; of several, the most similar, then the first by name) or 'none' (license '').
-    Equal cosines go to the template first by name. Null text: no lines; null path: '' and so no directory; repeated rows keep a row each; an empty table gives no rows. Every line of
-    every text is looked at, without a shuffle; shuffled are counts by term and directories, which Spark joins back as their size allows.
+    ``origin``: 'header' (a block of 1, 4 or 10 adjacent lines of the file is at least LINE from a template: the best such), 'inherited' (the nearest directory at or above the file's that has a licence file
+    gives its licence; a licence file has such a block and is as a whole at least FILE from a template; of several, the most similar, then the first by name) or 'none' (license '').
+    ``similarity``: of the best block; ``matched_lines``: single lines of at least LINE. Equal cosines go to the template first by name; a template's name up to a slash is its licence.
+    Null text: no lines; null path: '' and so no directory; repeated rows keep a row each; an empty table gives no rows; other columns are not read. Every line of every text is looked at, without a
+    shuffle; shuffled are counts by term, the terms of blocks that may match, and directories, which Spark joins back as their size allows.
     """
     templates = templates or TEMPLATES
     names = sorted(templates)
@@ -67,72 +83,80 @@ def license_scan(files: DataFrame, scratch: Scratch, id_col: str = "doc_id", pat
     df = {r["t"]: r["n"] for r in hits.groupBy("t").agg(F.count("*").alias("n")).collect()}
     n = src.count()
     weight = {t: (math.log((1 + n) / (1 + df.get(t, 0))) + 1) ** 2 for t in vocabulary}
-    rare = repr((math.log(1 + n) + 1) ** 2) + "D"
+    norm = {name: sum(weight[t] for t in own[name]) for name in names}
     table = "map(" + ", ".join(f"'{t}', {w!r}D" for t, w in weight.items()) + ")"
 
-    def best(words: str) -> str:
-        """The most similar template of an array of distinct terms."""
-        hit = f"array_intersect({words}, {_array(vocabulary)})"
-        norm = f"(aggregate({hit}, 0D, (a, x) -> a + element_at({table}, x)) + (size({words}) - size({hit})) * {rare})"
-        each = []
-        for name in names:
-            dot = f"aggregate(array_intersect({words}, {_array(own[name])}), 0D, (a, x) -> a + element_at({table}, x))"
-            each.append(f"struct(coalesce(round({dot} / sqrt({norm} * {sum(weight[t] for t in own[name])!r}D), 6), 0D) AS similarity, '{name}' AS license)")
-        return f"aggregate(array({', '.join(each)}), struct(-1D AS similarity, '' AS license), (a, x) -> if(x.similarity > a.similarity, x, a))"
-
     def distinct(text: str) -> str:
         return f"array_distinct(filter(split({text}, '{_SPLIT}'), x -> x <> ''))"
 
+    def enough(words: str) -> str:
+        """Whether what a block shares with some template weighs enough for LINE."""
+        return " OR ".join(f"aggregate(array_intersect({words}, {_array(own[t])}), 0D, (a, x) -> a + element_at({table}, x)) >= {LINE**2 * norm[t] * (1 - 1e-9)!r}D" for t in names)
+
+    def blocks(k: int) -> str:
+        starts = f"filter(sequence(1, size(lines) - {k - 1}), i -> exists(slice(flags, i, {k}), f -> f))"
+        body = f"array_join(slice(lines, i, {k}), ' ')"
+        found = f"transform({starts}, i -> struct({k} AS k, {distinct(body)} AS words))"
+        return f"if(size(lines) >= {k}, filter({found}, b -> {enough('b.words')}), array())"
+
     needed = "|".join(_needed(own, weight))
-    near = F.expr(f"filter(transform(transform(filter(if(low rlike '{needed}', split(low, '\n'), array()), l -> l rlike '{needed}'), l -> {distinct('l')}), words -> {best('words')}), b -> b.similarity >= {LINE}D)")
-    top = "aggregate(near, struct(-1D AS similarity, '' AS license), (a, x) -> if(x.similarity > a.similarity OR (x.similarity = a.similarity AND x.license < a.license), x, a))"
-    whole = f"if(size(near) > 0, transform(array({distinct('low')}), words -> {best('words')})[0].similarity, 0D)"
-    found = src.withColumn("near", near).select("id", "path", F.size("near").cast("long").alias("matched_lines"), F.expr(top).alias("top"), F.expr(whole).alias("whole"))
-    found = found.select("id", "path", "matched_lines", "top.license", F.greatest("top.similarity", F.lit(0.0)).alias("similarity"), "whole", F.regexp_replace("path", "/?[^/]*$", "").alias("dir"))
-    found = scratch.write(found, "found")
-    given = found.where(f"whole >= {FILE} AND path <> ''").groupBy("dir").agg(F.min(F.struct((-F.col("whole")).alias("w"), "license")).alias("g")).select(F.col("dir").alias("above"), F.col("g.license").alias("given"))
-    above = F.expr("transform(sequence(if(dir = '', 0, 1), if(dir = '', 0, size(split(dir, '/')))), i -> struct(i AS depth, array_join(slice(split(dir, '/'), 1, i), '/') AS above))")
-    ancestors = found.where("path <> ''").select("dir").distinct().select("dir", F.explode(above).alias("a")).select("dir", "a.depth", "a.above")
-    root = found.where("path <> '' AND dir <> ''").select("dir").distinct().select("dir", F.lit(0).alias("depth"), F.lit("").alias("above"))
-    nearest = ancestors.union(root).join(given, "above").groupBy("dir").agg(F.max(F.struct("depth", "given")).alias("m")).select(F.col("dir").alias("of"), F.col("m.given").alias("given"))
-    joined = found.join(nearest, F.col("dir") == F.col("of"), "left")
-    header, inherited = F.col("matched_lines") > 0, F.col("given").isNotNull() & (F.col("path") != "")
+    marked = src.select("id", "path", "low", F.monotonically_increasing_id().alias("row"), F.expr(f"if(low rlike '{needed}', split(low, '\n'), array())").alias("lines"))
+    marked = marked.withColumn("flags", F.expr(f"transform(lines, l -> l rlike '{needed}')"))
+    marked = marked.withColumn("blocks", F.expr(f"concat({', '.join(blocks(k) for k in BLOCKS)})"))
+    whole = F.expr(f"if(size(blocks) > 0, array_append(blocks, struct(0 AS k, {distinct('low')} AS words)), array())")
+    found = scratch.write(marked.select("row", "id", "path", F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), whole.alias("blocks")), "found")
+    said = found.select("row", F.posexplode("blocks").alias("block", "b")).select("row", "block", "b.k", F.explode("b.words").alias("t"))
+    said = scratch.write(said, "terms")
+    counted = src.select(F.explode(F.expr(distinct("low"))).alias("t")).join(said.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count("*").alias("df"))
+    w = F.pow(F.log((1 + F.lit(float(n))) / (1 + F.col("df"))) + 1, 2)
+    dots = [F.sum(F.when(F.col("t").isin(own[name]), F.col("w")).otherwise(0.0)).alias(f"d{i}") for i, name in enumerate(names)]
+    cosine = [F.struct(F.round(F.col(f"d{i}") / F.sqrt(F.col("norm") * F.lit(norm[name])), 6).alias("s"), F.lit(-i).alias("order"), F.lit(name.split("/")[0]).alias("license")) for i, name in enumerate(names)]
+    scored = said.join(counted.select("t", w.alias("w")), "t").groupBy("row", "block", "k").agg(F.sum("w").alias("norm"), *dots).select("row", "k", F.array_max(F.array(*cosine)).alias("b"))
+    near = (F.col("k") > 0) & (F.col("b.s") >= LINE)
+    best = scored.groupBy("row").agg(F.count_if(near & (F.col("k") == 1)).alias("matched"), F.max(F.when(near, F.col("b"))).alias("top"), F.max(F.when(F.col("k") == 0, F.col("b.s"))).alias("whole")).where("top IS NOT NULL")
+    files = found.select("row", "id", "path", "dir").join(best, "row", "left")
+    given = files.where(f"top IS NOT NULL AND whole >= {FILE} AND path <> ''").groupBy("dir").agg(F.min(F.struct((-F.col("whole")).alias("w"), "top.license")).alias("g")).select(F.col("dir").alias("above"), F.col("g.license").alias("given"))
+    given = scratch.write(given, "given")
+    root = given.where("above = ''").agg(F.first("given").alias("root"))  # one row, whatever there is
+    above = F.expr("transform(sequence(1, size(split(dir, '/'))), i -> struct(i AS depth, array_join(slice(split(dir, '/'), 1, i), '/') AS above))")
+    ancestors = found.where("dir <> ''").select("dir").distinct().select("dir", F.explode(above).alias("a")).select("dir", "a.depth", "a.above")
+    nearest = ancestors.join(given, "above").groupBy("dir").agg(F.max(F.struct("depth", "given")).alias("m")).select(F.col("dir").alias("of"), "m.given")
+    joined = files.join(nearest, F.col("dir") == F.col("of"), "left").join(F.broadcast(root)).withColumn("given", F.coalesce("given", "root"))
+    header, inherited = F.col("top").isNotNull(), F.col("given").isNotNull() & (F.col("path") != "")
     return joined.select(
         "id", "path",
-        F.when(header, F.col("license")).when(inherited, F.col("given")).otherwise("").alias("license"),
+        F.when(header, F.col("top.license")).when(inherited, F.col("given")).otherwise("").alias("license"),
         F.when(header, "header").when(inherited, "inherited").otherwise("none").alias("origin"),
-        "similarity", "matched_lines",
+        F.coalesce("top.s", F.lit(0.0)).alias("similarity"), F.coalesce("matched", F.lit(0)).cast("long").alias("matched_lines"),
     ).withColumnRenamed("id", id_col)
 
 
 def oracle(files: str, id_col: str = "doc_id", templates: dict[str, str] | None = None) -> str:
-    """``license_scan`` over a subquery (id_col, path, text) in DuckDB SQL, all lines and templates crossed without any shortcut."""
+    """``license_scan`` over a subquery (id_col, path, text) in DuckDB SQL, all blocks and templates compared without any shortcut."""
     templates = templates or TEMPLATES
-    rows = ", ".join(f"('{n}', [{', '.join(repr(t) for t in terms(templates[n]))}])" for n in sorted(templates))
+    rows = ", ".join(f"({i}, '{n.split('/')[0]}', [{', '.join(repr(t) for t in terms(templates[n]))}])" for i, n in enumerate(sorted(templates)))
     words = "list_distinct(list_filter(string_split_regex({}, '[^a-z0-9]+'), lambda x: x <> ''))"
+    sizes = " UNION ALL ".join(f"SELECT id, {k} AS k, array_to_string(lines[i : i + {k - 1}], ' ') AS body FROM (SELECT id, lines, unnest(range(1, len(lines) - {k - 2})) AS i FROM l WHERE len(lines) >= {k})" for k in BLOCKS)
     return f"""
 WITH f AS (SELECT {id_col} AS id, coalesce(path, '') AS path, lower(coalesce(text, '')) AS low FROM ({files})),
-tpl(license, ts) AS (VALUES {rows}),
-vocab AS (SELECT DISTINCT unnest(ts) AS t FROM tpl),
+tpl(o, license, ts) AS (VALUES {rows}),
+own AS (SELECT o, license, unnest(ts) AS t FROM tpl),
 total AS (SELECT count(*) AS n FROM f),
-df AS (SELECT t, count(*) AS df FROM (SELECT unnest({words.format('low')}) AS t FROM f) SEMI JOIN vocab USING (t) GROUP BY t),
-w AS (SELECT t, pow(ln((1 + n) / (1 + coalesce(df, 0))) + 1, 2) AS w FROM vocab LEFT JOIN df USING (t), total),
-tnorm AS (SELECT license, sum(w) AS tn FROM (SELECT license, unnest(ts) AS t FROM tpl) JOIN w USING (t) GROUP BY license),
-seg AS (SELECT id, row_number() OVER () AS seg, kind, words FROM (
-  SELECT id, 'line' AS kind, {words.format('l')} AS words FROM (SELECT id, unnest(string_split(low, chr(10))) AS l FROM f)
-  UNION ALL SELECT id, 'whole', {words.format('low')} FROM f)),
+w AS (SELECT t, pow(ln((1 + any_value(n)) / (1 + count(*))) + 1, 2) AS w FROM (SELECT unnest({words.format('low')}) AS t FROM f), total GROUP BY t),
+tnorm AS (SELECT o, license, sum(coalesce(w, pow(ln(1 + n) + 1, 2))) AS tn FROM own LEFT JOIN w USING (t), total GROUP BY o, license),
+l AS (SELECT id, string_split(low, chr(10)) AS lines FROM f),
+seg AS (SELECT row_number() OVER () AS seg, id, k, words FROM (SELECT id, k, {words.format('body')} AS words FROM ({sizes} UNION ALL SELECT id, 0, low FROM f))),
 term AS (SELECT seg, unnest(words) AS t FROM seg),
-norm AS (SELECT seg, sum(coalesce(w, pow(ln(1 + n) + 1, 2))) AS sn FROM term LEFT JOIN w USING (t), total GROUP BY seg),
-dot AS (SELECT seg, license, sum(w) AS d FROM term JOIN w USING (t) JOIN (SELECT license, unnest(ts) AS t FROM tpl) USING (t) GROUP BY seg, license),
-cosine AS (SELECT seg, license, round(d / sqrt(sn * tn), 6) AS s FROM dot JOIN norm USING (seg) JOIN tnorm USING (license)),
-best AS (SELECT seg, license, s FROM cosine QUALIFY row_number() OVER (PARTITION BY seg ORDER BY s DESC, license) = 1),
-line AS (SELECT id, count(*) AS matched, max(s) AS s FROM seg JOIN best USING (seg) WHERE kind = 'line' AND s >= {LINE} GROUP BY id),
-top AS (SELECT id, license, s FROM seg JOIN best USING (seg) WHERE kind = 'line' AND s >= {LINE} QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, license) = 1),
-found AS (SELECT f.id, path, coalesce(matched, 0) AS matched, top.license AS license, coalesce(top.s, 0) AS s, CASE WHEN matched > 0 THEN coalesce(wb.s, 0) ELSE 0 END AS whole, regexp_replace(path, '/?[^/]*$', '') AS dir
-  FROM f LEFT JOIN line USING (id) LEFT JOIN top USING (id) LEFT JOIN (SELECT id, s FROM seg JOIN best USING (seg) WHERE kind = 'whole') wb USING (id)),
+norm AS (SELECT seg, sum(w) AS sn FROM term JOIN w USING (t) GROUP BY seg),
+dot AS (SELECT seg, o, license, sum(w) AS d FROM term JOIN own USING (t) JOIN w USING (t) GROUP BY seg, o, license),
+best AS (SELECT seg, dot.o, dot.license, round(d / sqrt(sn * tn), 6) AS s FROM dot JOIN norm USING (seg) JOIN tnorm ON tnorm.o = dot.o QUALIFY row_number() OVER (PARTITION BY seg ORDER BY round(d / sqrt(sn * tn), 6) DESC, dot.o) = 1),
+near AS (SELECT id, k, o, license, s FROM seg JOIN best USING (seg) WHERE k > 0 AND s >= {LINE}),
+top AS (SELECT id, license, s, count(*) FILTER (k = 1) OVER (PARTITION BY id) AS matched FROM near QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, o) = 1),
+found AS (SELECT f.id, path, matched, top.license, top.s, CASE WHEN matched IS NOT NULL THEN wb.s END AS whole, regexp_replace(path, '/?[^/]*$', '') AS dir
+  FROM f LEFT JOIN top USING (id) LEFT JOIN (SELECT id, s FROM seg JOIN best USING (seg) WHERE k = 0) wb USING (id)),
 given AS (SELECT dir AS above, license AS given FROM found WHERE whole >= {FILE} AND path <> '' QUALIFY row_number() OVER (PARTITION BY dir ORDER BY whole DESC, license) = 1),
-near AS (SELECT d.dir, given FROM (SELECT DISTINCT dir FROM found WHERE path <> '') d JOIN given ON above = '' OR d.dir = above OR starts_with(d.dir, above || '/')
+above AS (SELECT d.dir, given FROM (SELECT DISTINCT dir FROM found WHERE path <> '') d JOIN given ON above = '' OR d.dir = above OR starts_with(d.dir, above || '/')
   QUALIFY row_number() OVER (PARTITION BY d.dir ORDER BY length(above) DESC) = 1)
-SELECT id AS {id_col}, path, CASE WHEN matched > 0 THEN license WHEN given IS NOT NULL AND path <> '' THEN given ELSE '' END AS license,
-  CASE WHEN matched > 0 THEN 'header' WHEN given IS NOT NULL AND path <> '' THEN 'inherited' ELSE 'none' END AS origin, CAST(s AS DOUBLE) AS similarity, CAST(matched AS BIGINT) AS matched_lines
-FROM found LEFT JOIN near ON near.dir = found.dir"""
+SELECT id AS {id_col}, path, CASE WHEN matched IS NOT NULL THEN license WHEN given IS NOT NULL AND path <> '' THEN given ELSE '' END AS license,
+  CASE WHEN matched IS NOT NULL THEN 'header' WHEN given IS NOT NULL AND path <> '' THEN 'inherited' ELSE 'none' END AS origin, CAST(coalesce(s, 0) AS DOUBLE) AS similarity, CAST(coalesce(matched, 0) AS BIGINT) AS matched_lines
+FROM found LEFT JOIN above ON above.dir = found.dir"""

@@ -1,4 +1,5 @@
 import duckdb
+from pyspark.sql import functions as F
 
 from sabermill.llm import license as lic
 from sabermill.llm.shared import Scratch
@@ -15,6 +16,11 @@ FILES = [
     (9, "", ""),
     (10, "a/b/mit/x/y.txt", "plain"),
     (11, "w/v.txt", "the license of the version is public and in the sea"),
+    (12, "src/x.py", "# some tool\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n# http://www.apache.org/licenses/LICENSE-2.0\n#\n"
+     "# Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an \"AS IS\" BASIS,\n# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n# See the License for the specific language governing permissions and\n# limitations under the License.\nimport os"),
+    (13, "gpl/COPYING", lic.TEMPLATES["GPL-3.0/header"].replace(", ", ",\n")),
+    (14, "gpl/src/deep/y.c", "plain"),
+    (15, "w/u.txt", "and this work of ours is released under the MIT License in the sea"),
 ]
 
 
@@ -24,6 +30,7 @@ def test_inheritance_and_oracle(spark):
     assert {i: (r.license, r.origin) for i, r in got.items()} == {
         1: ("Apache-2.0", "header"), 2: ("Apache-2.0", "inherited"), 3: ("MIT", "header"), 4: ("MIT", "inherited"), 5: ("", "none"), 6: ("Proprietary", "header"),
         7: ("", "none"), 8: ("", "none"), 9: ("", "none"), 10: ("MIT", "inherited"), 11: ("", "none"),
+        12: ("Apache-2.0", "header"), 13: ("GPL-3.0", "header"), 14: ("GPL-3.0", "inherited"), 15: ("", "none"),
     }
     table = files.toPandas()
     con = duckdb.connect()
@@ -31,3 +38,12 @@ def test_inheritance_and_oracle(spark):
     want = con.sql(lic.oracle("SELECT * FROM files")).fetchall()
     assert sorted(want) == sorted((r.doc_id, r.path, r.license, r.origin, r.similarity, r.matched_lines) for r in got.values())
     assert lic.license_scan(files.where("false"), Scratch(spark)).count() == 0
+
+
+def test_common_words_cost_little(spark):
+    """A notice with ordinary words around it is found where these words are ordinary, and not where they are rare; a root licence reaches every directory."""
+    notice = "and this file is released under the MIT License in the sea"
+    rows = [(i, f"d{i % 5}/f{i}", "this file is of the sea and in it " + f"w{i}") for i in range(300)] + [(900, "LICENSE", notice)]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumn("license", F.lit(1)).withColumn("row", F.lit(2))
+    got = {r.doc_id: (r.license, r.origin) for r in lic.license_scan(files, Scratch(spark)).collect()}
+    assert got.pop(900) == ("MIT", "header") and set(got.values()) == {("MIT", "inherited")}
