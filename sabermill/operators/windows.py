@@ -70,10 +70,27 @@ def drawdown(df: DataFrame, run: str, order: list[Column], pnl: str, start: floa
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Rank with ties averaged; nulls keep a null rank."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    return df.withColumn("rank", F.when(F.col(value).isNotNull(), F.rank().over(w) + (ties - 1) / 2.0))
+    """Rank with ties averaged; nulls keep a null rank. Rows are counted by value first, so a key with many rows is ordered by its distinct values alone."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    below = F.sum("_n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    ranks = counted.select(*keys, value, (F.coalesce(below, F.lit(0)) + (F.col("_n") + 1) / 2.0).alias("rank"))
+    return df.join(ranks, [*keys, value], "left")
+
+
+def placed(df: DataFrame, keys: list[str], value: str, ties: list[str], cells: int = 4096) -> DataFrame:
+    """Adds ``_place`` (1 ..), ``_upto`` (rows of no larger value) and ``_total`` of each row within its keys, by value and then ties; no task orders a whole key.
+
+    Values fall into equal cells between a key's least and largest; cells are counted and added up in order, and rows are only ordered inside their cell. Rows of one value share a cell.
+    """
+    span = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("_total"))
+    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    celled = df.join(F.broadcast(span), keys).withColumn("_cell", F.coalesce(F.floor((F.col(value) - F.col("_lo")) / width * cells), F.lit(0)))
+    order = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = celled.groupBy(*keys, "_cell").agg(F.count("*").alias("_in")).withColumn("_before", F.coalesce(F.sum("_in").over(order), F.lit(0)))
+    cell = Window.partitionBy(*keys, "_cell")
+    out = celled.join(counts, [*keys, "_cell"])
+    out = out.withColumn("_place", F.col("_before") + F.row_number().over(cell.orderBy(value, *ties)))
+    return out.withColumn("_upto", F.col("_before") + F.round(F.cume_dist().over(cell.orderBy(value)) * F.col("_in"))).drop("_lo", "_hi", "_cell", "_in", "_before")
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -86,8 +103,8 @@ def gap_days(df: DataFrame, key: str, order: list[Column], day: str) -> DataFram
     return df.withColumn("days_off", F.datediff(day, F.lag(day).over(w)).cast("long"))
 
 
-def equal_deciles(df: DataFrame, order: list[Column], keys: list[str] | None = None, n: int = 10) -> DataFrame:
-    """Equal-frequency bins 0 .. n-1 with linearly interpolated edges over the first-come rank."""
-    part = Window.partitionBy(*(keys or [F.lit(0)]))
-    rn, total = F.row_number().over(part.orderBy(*order)), F.count(F.lit(1)).over(part)
-    return df.withColumn("bin", F.greatest(F.ceil((rn - 1) * float(n) / F.greatest(total - 1, F.lit(1))) - 1, F.lit(0)).cast("long"))
+def equal_deciles(df: DataFrame, value: str, ties: list[str], keys: list[str], n: int = 10) -> DataFrame:
+    """Equal-frequency bins 0 .. n-1 with linearly interpolated edges over the first-come rank; see ``placed``."""
+    ranked = placed(df, keys, value, ties)
+    edge = F.ceil((F.col("_place") - 1) * float(n) / F.greatest(F.col("_total") - 1, F.lit(1))) - 1
+    return ranked.withColumn("bin", F.greatest(edge, F.lit(0)).cast("long")).drop("_place", "_upto", "_total")

@@ -90,9 +90,9 @@ def days_off(t):
 
 @query("percentile_rank", "WITH {log} SELECT seq, team, round((row_number() OVER (PARTITION BY team ORDER BY value, seq) - 1) / greatest(count(*) OVER (PARTITION BY team) - 1, 1) + 1e-7, 4) AS pct, round(cume_dist() OVER (PARTITION BY team ORDER BY value) + 1e-7, 4) AS at_most FROM log")
 def percentile(t):
-    part = Window.partitionBy("team")
-    pct = (F.row_number().over(part.orderBy("value", "seq")) - 1) / F.greatest(F.count(F.lit(1)).over(part) - 1, F.lit(1))
-    return t.log.select("seq", "team", r(pct).alias("pct"), r(F.cume_dist().over(part.orderBy("value"))).alias("at_most"))
+    ranked = w.placed(t.log, ["team"], "value", ["seq"])
+    pct = (F.col("_place") - 1) / F.greatest(F.col("_total") - 1, F.lit(1))
+    return ranked.select("seq", "team", r(pct).alias("pct"), r(F.col("_upto") / F.col("_total")).alias("at_most"))
 
 
 @query("series_record", """WITH {log} SELECT seq, player, count(*) FILTER (value > 50) OVER s AS wins, count(*) FILTER (value <= 50) OVER s AS losses FROM log WINDOW s AS (PARTITION BY player, team ORDER BY day RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING)""")
@@ -112,7 +112,7 @@ def recency(t):
 @query("equal_frequency_deciles", """WITH {log}, k AS (SELECT team, value, player, row_number() OVER (PARTITION BY team ORDER BY value, seq) AS rn, count(*) OVER (PARTITION BY team) AS n FROM log)
 SELECT team, CAST(greatest(ceil((rn - 1) * 10.0 / greatest(n - 1, 1)) - 1, 0) AS BIGINT) AS bin, count(*) AS n, round(avg(value) + 1e-7, 4) AS mean, round(avg(abs(value - 50)) + 1e-7, 4) AS mae FROM k GROUP BY ALL""")
 def deciles(t):
-    out = w.equal_deciles(t.log, [F.col("value"), F.col("seq")], ["team"])
+    out = w.equal_deciles(t.log, "value", ["seq"], ["team"])
     return out.groupBy("team", "bin").agg(F.count("*").alias("n"), r(F.avg("value")).alias("mean"), r(F.avg(F.abs(F.col("value") - 50))).alias("mae"))
 
 

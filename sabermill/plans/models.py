@@ -60,19 +60,19 @@ def beam(t):
 
 @query("ranked_greedy_entries")
 def greedy(t):
-    rows = t.lineitem.groupBy(F.col("l_orderkey").alias("entry")).agg(F.collect_set(F.col("l_suppkey")).alias("legs"), F.sum("l_extendedprice").alias("value"), (F.first("l_orderkey") % 50).alias("slate"))
+    rows = t.lineitem.groupBy(F.col("l_orderkey").alias("entry")).agg(F.collect_set(F.col("l_suppkey")).alias("legs"), F.sum("l_extendedprice").alias("value"), F.floor(F.first("l_orderkey") / 300).alias("slate"))
     return search.ranked_greedy(rows, "slate", "entry", "legs", "value")
 
 
 @query("joint_kelly")
 def kelly(t):
-    rows = t.orders.select(F.col("o_orderkey").alias("bet"), (F.col("o_custkey") % 40).alias("slate"), (0.45 + (F.col("o_orderkey") % 30) / 100).alias("prob"), F.lit(1.0).alias("payout"))
+    rows = t.orders.select(F.col("o_orderkey").alias("bet"), F.floor(F.col("o_orderkey") / 400).alias("slate"), (0.45 + (F.col("o_orderkey") % 30) / 100).alias("prob"), F.lit(1.0).alias("payout"))
     return search.joint_kelly(rows, "slate", "bet", "prob", "payout")
 
 
 @query("bankroll_simulation")
 def simulation(t):
-    rows = t.events.select((F.col("user_id") % 20).alias("run"), F.col("ts").cast("date").alias("day"), (F.col("value") / 200 + 0.25).alias("prob"), F.lit(1.0).alias("payout"))
+    rows = t.events.select(F.col("user_id").alias("run"), F.col("ts").cast("date").alias("day"), (F.col("value") / 200 + 0.25).alias("prob"), F.lit(1.0).alias("payout"))
     return search.simulate(rows, "run", "day", "prob", "payout")
 
 
