@@ -12,6 +12,7 @@ the context that is one byte shorter. Beyond ``GROUP`` languages there is one su
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -273,7 +274,7 @@ def code_lengths(model: Model, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | Groups | None:
     """Fits on at most SAMPLE_DOCS rows of each language where ``labelled`` holds and language and text are not null.
 
-    None without any such row. Languages are counted over all labelled rows. Only ids and languages are ranked (each task keeps its first SAMPLE_DOCS before the shuffle); the whole texts
+    None without any such row. Languages are counted over all labelled rows. Only ids and languages are ranked, and of these a few times SAMPLE_DOCS by a bound on the hash; the whole texts
     of the ranked rows alone are then counted where they lie, ORDER + 1 bytes at a time, and added up by language. The driver holds the distinct strings of ORDER + 1 bytes of one group of at
     most GROUP languages at a time, however long the texts are. Rows that share an id and a language all count.
     """
@@ -281,9 +282,21 @@ def train(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: s
     prior = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not prior:
         return None
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang").select("id", "lang", F.row_number().over(order).alias("k")).where(f"k <= {SAMPLE_DOCS}").select("id", "lang").distinct()
-    part = rows.join(F.broadcast(chosen) if len(prior) <= 64 else chosen, ["id", "lang"], "left_semi").select("lang", "text")
+    spark = docs.sparkSession
+    hashed = rows.select("id", "lang", F.xxhash64("id").alias("h"))
+
+    def ranked(part: DataFrame) -> list:
+        order = Window.partitionBy("lang").orderBy("h", "id")
+        return part.withColumn("k", F.row_number().over(order)).where(f"k <= {SAMPLE_DOCS}").select("id", "lang").collect()
+
+    # of a language's hashes only so many of the smallest that the sample is among them are ranked; where many rows share few ids that may fail, and then all are
+    bounds = spark.createDataFrame([(x, -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 4 * SAMPLE_DOCS // n)) for x, n in prior.items()], "lang string, bound long")
+    first = ranked(hashed.join(F.broadcast(bounds), "lang").where("h <= bound").drop("bound"))
+    got = Counter(r["lang"] for r in first)
+    if any(got[x] < min(SAMPLE_DOCS, n) for x, n in prior.items()):
+        first = ranked(hashed)
+    chosen = spark.createDataFrame(sorted({(r["id"], r["lang"]) for r in first}), rows.select("id", "lang").schema)
+    part = rows.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
