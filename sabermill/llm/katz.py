@@ -87,13 +87,13 @@ class _Tokens:
         self.before = np.concatenate([[0], self.token[:-1]]) if len(tokens) else self.token
         self.before[self.first[:-1]] = len(self.words)
 
-    def numbered(self, replies: list[tuple[int, bytes]]) -> None:
+    def numbered(self, replies: list[tuple[int, bytes]], buckets: int) -> None:
         """Global numbers and training counts of the words."""
-        at, self.count, self.number = cuts(self.words, len(replies)), np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.uint64)
+        at, self.count, self.number = cuts(self.words, buckets), np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.uint64)
         for b, blob in replies:
             rank, count = _got(blob)
             self.count[at[b] : at[b + 1]] = count
-            self.number[at[b] : at[b + 1]] = rank.astype(np.uint64) * np.uint64(len(replies)) + np.uint64(b)
+            self.number[at[b] : at[b + 1]] = rank.astype(np.uint64) * np.uint64(buckets) + np.uint64(b)
 
     def bigrams(self, buckets: int, total: int, texts: int) -> None:
         """Distinct (context, word) pairs, in the order bucket, context, word; hot contexts have a row in each of their parts."""
@@ -231,8 +231,9 @@ def katz_scores(docs: DataFrame, scratch: Scratch, parts: int = 10, held: int =
                 own = _Tokens(blob.as_py(), parts, held)
                 count = np.bincount(own.token[own.train], minlength=len(own.words))
                 at = cuts(own.words, buckets)
-                blobs = [_send(own.words[a:b], _narrow(count[a:b])) for a, b in zip(at, at[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), pa.array([chunk] * buckets, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "blob"])
+                some = np.flatnonzero(np.diff(at))  # buckets of which the chunk has words
+                blobs = [_send(own.words[at[b] : at[b + 1]], _narrow(count[at[b] : at[b + 1]])) for b in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([chunk] * len(some), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "blob"])
 
     sent = chunks.select("chunk", "blob").mapInArrow(words, _REQUEST)
     numbered = scratch.write(sent.groupBy("bucket").applyInArrow(_words, _REPLY), "words")
@@ -244,7 +245,7 @@ def katz_scores(docs: DataFrame, scratch: Scratch, parts: int = 10, held: int =
 
     def prepared(left: pa.Table, right: pa.Table) -> _Tokens:
         own = _Tokens(left["blob"][0].as_py(), parts, held)
-        own.numbered(read(right, 0))
+        own.numbered(read(right, 0), buckets)
         own.bigrams(buckets, total, texts)
         return own
 
