@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from sabermill.llm.kernels import LOWER, release, slices, squeeze, utf8, xxh64
 from sabermill.llm.rows import keep_rows
 
-#: The automaton is built in every Python worker, at about a kilobyte a window; a test set of more distinct windows is refused, not cut.
+#: The automaton is built in every Python worker, at about half a kilobyte a window (measured); a test set of more distinct windows is refused, not cut.
 MAX_WINDOWS = 800_000
 
 #: After lower-casing A-Z, words are runs of 0-9, a-z and bytes of code points over U+007F.
