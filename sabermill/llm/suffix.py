@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sabermill.llm.chunks import bucket_count, chunked, cuts, pack_arrays, read_chunk, unpack
-from sabermill.llm.kernels import mix64, slices
+from sabermill.llm.kernels import mix64, release, slices
 from sabermill.llm.shared import Scratch
 
 LENGTH, FILTER, ANCHOR = 50, 32, 12
@@ -112,8 +112,9 @@ class _Chunk:
         self.texts = list(index)
         self.least = np.full(len(index), np.iinfo(np.int64).max)
         np.minimum.at(self.least, self.which, self.id[self.doc])
-        owner = np.zeros(len(index), np.int64)
+        owner, self.part = np.zeros(len(index), np.int64), np.zeros(len(index), np.uint16)
         owner[self.which] = self.bucket
+        self.part[self.which] = (mix64(anchor[first]) >> np.uint64(48)).astype(np.uint16)
         self.sent = [np.flatnonzero(owner == b) for b in np.unique(owner)]
         self.sent_to = np.unique(owner)
 
@@ -140,17 +141,40 @@ def _ranges(counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-_LOW = np.uint64((1 << 32) - 1)
-
-
 def _sorted_by(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places in the order of two 32-bit keys, equal ones as they stand; a number for each place, equal for equal keys): two sorts of plain numbers, which are vectorised, for one indirect sort."""
-    at = np.arange(len(high), dtype=np.uint64)
-    order = (np.sort(low.astype(np.uint64) << np.uint64(32) | at) & _LOW).astype(np.int64)
-    order = order[(np.sort(high[order].astype(np.uint64) << np.uint64(32) | at) & _LOW).astype(np.int64)]
-    h, w = high[order], low[order]
-    rank = np.empty(len(high), np.uint32)
-    rank[order] = np.cumsum(np.concatenate([[False], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]), dtype=np.uint32)[: len(high)]
+    """(places in the order of two 32-bit keys, equal ones as they stand; a number for each place, equal for equal keys), all of 32 bits.
+
+    Keys are sorted with the place behind them as plain numbers, in place, as such sorts are vectorised: both keys at once where all three fit into 64 bits, else one key after the other.
+    """
+    n = len(high)
+    at, wide = n.bit_length(), int(low.max(initial=0)).bit_length()
+    rank = np.empty(n, np.uint32)
+    new = np.zeros(n, np.uint32)
+    if int(high.max(initial=0)).bit_length() + wide + at <= 64:
+        key = high.astype(np.uint64)
+        key <<= np.uint64(wide)
+        key |= low
+        key <<= np.uint64(at)
+        key |= np.arange(n, dtype=np.uint32)
+        key.sort()
+        order = (key & np.uint64((1 << at) - 1)).astype(np.uint32)
+        key >>= np.uint64(at)
+        new[1:] = key[1:] != key[:-1]
+    else:
+
+        def places(key: np.ndarray) -> np.ndarray:
+            both = key.astype(np.uint64)
+            both <<= np.uint64(32)
+            both |= np.arange(n, dtype=np.uint32)
+            both.sort()
+            return both.astype("<u8", copy=False).view("<u4")[::2].copy()
+
+        order = places(low)
+        order = order[places(high[order])]
+        for key in (high, low):
+            now = key[order]
+            new[1:] |= now[1:] != now[:-1]
+    rank[order] = np.cumsum(new, dtype=np.uint32)
     return order, rank
 
 
@@ -161,77 +185,91 @@ class SuffixArray:
 
     def __init__(self, raw: np.ndarray, offs: np.ndarray) -> None:
         n = len(raw)
-        self.left = (np.repeat(offs[1:], np.diff(offs)) - np.arange(n)).astype(np.int32)  # bytes up to the segment's end
-        wide = np.concatenate([raw, np.zeros(8, np.uint8)])
-        self.first = np.ndarray(n, ">u8", wide.data, strides=(1,)).astype(np.uint64)
+        self.raw = np.concatenate([raw, np.zeros(8, np.uint8)])
+        self.left = np.empty(n, np.uint8)  # bytes up to the segment's end, 255 for more
+        for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
+            self.left[a:b] = 255
+            near = min(b - a, 255)
+            self.left[b - near : b] = np.arange(near, 0, -1)
         # 7 bytes, zeros beyond the segment's end, then how many of them are inside: an end comes before every byte
-        near = np.flatnonzero(self.left < 8)
+        key = self.load(slice(None)).astype(np.uint64)
+        near = np.flatnonzero(self.left < 7)
         over = (8 - self.left[near]).astype(np.uint64) * np.uint64(8)
-        self.first[near] = self.first[near] >> over << over
-        key = self.first & np.uint64(2**64 - 256) | np.minimum(self.left, 7).astype(np.uint64)
-        self.order, rank = _sorted_by((key >> np.uint64(32)).astype(np.uint32), (key & _LOW).astype(np.uint32))
+        key[near] = key[near] >> over << over
+        key &= np.uint64(2**64 - 256)
+        key |= np.minimum(self.left, 7)
+        halves = key.astype("<u8", copy=False).view("<u4").reshape(-1, 2)
+        low, high = halves[:, 0].copy(), halves[:, 1].copy()
+        del key, halves
+        self.order, rank = _sorted_by(high, low)
         self.levels: list[tuple[int, np.ndarray]] = [(7, rank)]
         size = 7
         while size < self.REACH:
             later = np.zeros(n, np.uint32)
-            on = np.flatnonzero(self.left > size)
-            later[on] = rank[on + size] + np.uint32(1)
+            on = self.left[: n - size] > size
+            later[: n - size][on] = rank[size:][on] + np.uint32(1)
             self.order, rank = _sorted_by(rank, later)
             size *= 2
             self.levels.append((size, rank))
-        self.rank = rank
+
+    def load(self, at) -> np.ndarray:
+        """The 8 bytes from places on, as big-endian numbers."""
+        return np.ndarray(len(self.raw) - 8, ">u8", self.raw.data, strides=(1,))[at]
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common prefixes of the suffixes at places ``a`` and ``b``, up to REACH bytes."""
-        most = np.minimum(np.minimum(self.left[a], self.left[b]), self.REACH).astype(np.int64)
-        size, rank = self.levels[-1]
-        out = np.where(rank[a] == rank[b], most, 0)
-        open_ = np.flatnonzero(rank[a] != rank[b])
-        a, b, done = a[open_], b[open_], np.zeros(len(open_), np.int64)
+        most = np.minimum(np.minimum(self.left[a], self.left[b]), self.REACH)
+        rank = self.levels[-1][1]
+        unequal = np.flatnonzero(rank[a] != rank[b])
+        out, a, b = most.copy(), a[unequal].astype(np.int64), b[unequal].astype(np.int64)
+        limit, done = most[unequal].astype(np.int64), np.zeros(len(unequal), np.int64)
         for size, rank in self.levels[-2::-1]:
-            x, y = a + done, b + done
-            on = (done + size <= self.left[a]) & (done + size <= self.left[b])
-            on[on] = rank[x[on]] == rank[y[on]]
-            done += np.where(on, size, 0)
-        inside = (done < self.left[a]) & (done < self.left[b])
-        diff = self.first[(a + done)[inside]] ^ self.first[(b + done)[inside]]
-        lead = np.zeros(len(diff), np.int64)  # leading bytes that are equal
+            on = np.flatnonzero(done + size <= limit)
+            on = on[rank[a[on] + done[on]] == rank[b[on] + done[on]]]
+            done[on] += size
+        rest = np.flatnonzero(done < limit)
+        diff = (self.load(a[rest] + done[rest]) ^ self.load(b[rest] + done[rest])).astype(np.uint64)
         for k in range(1, 9):
-            lead += diff >> np.uint64(64 - 8 * k) == 0
-        done[inside] += lead
-        out[open_] = np.minimum(done, most[open_])
+            done[rest] += diff >> np.uint64(64 - 8 * k) == 0
+        out[unequal] = np.minimum(done, limit)
         return out
 
 
+#: Neighbours in suffix order that are compared at a time, and bytes that one suffix array holds if no part is larger: with fewer, two ranks and a place fit into one number.
+STEP, BATCH = 1 << 20, 1 << 21
+
+
 def previous_factors(raw: np.ndarray, offs: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """The longest previous factor of every byte of the segments: how many bytes from it on also start in a segment of a smaller document, up to SuffixArray.REACH; under LENGTH counts as 0.
 
     ``docs``: each segment's document, never falling. In suffix order, the longest such string is shared with the nearest suffix of a smaller document on one of both sides; how much is the least
     common prefix of neighbours in between. Nearest smaller ones are found by pointer jumping, all suffixes at once, which stops where too little is in common.
     """
-    n = len(raw)
     suffixes = SuffixArray(raw, offs)
-    doc_of = np.repeat(docs, np.diff(offs))
+    out = np.zeros(len(raw), np.uint8)
     order = suffixes.order[suffixes.left[suffixes.order] >= LENGTH]
-    m, doc = len(order), doc_of[order]
-    lcp = np.zeros(m + 1, np.int64)  # lcp[i]: with the suffix before
-    if m > 1:
-        lcp[1:m] = suffixes.common(order[:-1], order[1:])
-    factor = np.zeros(m, np.int64)
+    m = len(order)
+    lcp = np.zeros(m + 1, np.uint8)  # lcp[i]: with the suffix before
+    for i in range(1, m, STEP):
+        j = min(i + STEP, m)
+        lcp[i:j] = suffixes.common(order[i - 1 : j - 1], order[i:j])
+    del suffixes
+    number = np.cumsum(np.concatenate([[0], docs[1:] != docs[:-1]]), dtype=np.int32)
+    doc = np.repeat(number, np.diff(offs))[order]
+    factor = np.zeros(m, np.uint8)
     for step in (-1, 1):
-        to = np.arange(m) + step
+        to = np.arange(step, m + step, dtype=np.int32)
         least = lcp[:m].copy() if step < 0 else lcp[1:].copy()  # the least common prefix on the way to ``to``
-        open_ = np.flatnonzero(least >= LENGTH)
-        while len(open_):
-            met = doc[to[open_]] < doc[open_]
-            factor[open_[met]] = np.maximum(factor[open_[met]], least[open_[met]])
-            open_ = open_[~met]
-            via = to[open_]
+        on = np.flatnonzero(least >= LENGTH).astype(np.int32)
+        while len(on):
+            met = doc[to[on]] < doc[on]
+            factor[on[met]] = np.maximum(factor[on[met]], least[on[met]])
+            on = on[~met]
+            via = to[on]
             # whoever stands between ``via`` and its own pointer is no smaller than ``via``, and so no smaller than we are
-            to_next, least_next = to[via], np.minimum(least[open_], least[via])
-            to[open_], least[open_] = to_next, least_next
-            open_ = open_[least_next >= LENGTH]
-    out = np.zeros(n, np.int64)
+            further, shared = to[via], np.minimum(least[on], least[via])
+            to[on], least[on] = further, shared
+            on = on[shared >= LENGTH]
     out[order] = factor
     return out
 
@@ -259,24 +297,36 @@ def _seen_in_several(table: pa.Table) -> pa.Table:
 
 def _factors(table: pa.Table) -> pa.Table:
     """One bucket's segments: for each chunk, which of its windows start in a smaller document."""
-    chunk, texts, docs, sizes = table["chunk"].to_pylist(), [], [], []
+    chunk, texts, docs, parts, sizes = table["chunk"].to_pylist(), [], [], [], []
     for blob in table["blob"].to_pylist():
         batch = unpack(blob)
         texts += batch.column(0).to_pylist()
         docs.append(np.asarray(batch.column(1)))
+        parts.append(np.asarray(batch.column(2)))
         sizes.append(batch.num_rows)
-    doc = np.concatenate(docs)
-    by = np.argsort(doc, kind="stable")
+    doc, part = np.concatenate(docs), np.concatenate(parts)
     lens = np.array([len(t) for t in texts], np.int64)
-    offs = np.concatenate([[0], np.cumsum(lens[by])])
-    factor = previous_factors(np.frombuffer(b"".join([texts[i] for i in by.tolist()]), np.uint8), offs, doc[by])
-    begin = np.empty(len(by), np.int64)
-    begin[by] = offs[:-1]
     starts = lens - LENGTH + 1  # places of each segment at which a string of LENGTH bytes fits
-    gone = factor[np.repeat(begin, starts) + _ranges(starts)] >= LENGTH
     of = np.concatenate([[0], np.cumsum(starts)])
+    gone = np.zeros(int(of[-1]), bool)
+    # equal strings have equal parts, so parts are sorted one batch after the other
+    by = np.lexsort((doc, part))
+    last = np.append(np.flatnonzero(np.diff(part[by])) + 1, len(by))
+    size = np.cumsum(lens[by])
+    lo = 0
+    while lo < len(by):
+        fit = last[(last > lo) & (size[last - 1] - size[lo] + lens[by[lo]] < BATCH)]
+        hi = int(fit[-1]) if len(fit) else int(last[last > lo][0])
+        own = by[lo:hi]
+        own = own[np.argsort(doc[own], kind="stable")]
+        offs = np.concatenate([[0], np.cumsum(lens[own])])
+        factor = previous_factors(np.frombuffer(b"".join([texts[i] for i in own.tolist()]), np.uint8), offs, doc[own])
+        gone[np.repeat(of[own], starts[own]) + _ranges(starts[own])] = factor[np.repeat(offs[:-1], starts[own]) + _ranges(starts[own])] >= LENGTH
+        lo = hi
     edge = of[np.concatenate([[0], np.cumsum(sizes)])]
     bits = [np.packbits(gone[a:b]).tobytes() for a, b in zip(edge, edge[1:])]
+    del gone, texts
+    release()
     return pa.table([pa.array(chunk, pa.int64()), pa.array([table["bucket"][0].as_py()] * len(chunk), pa.int32()), pa.array(bits, pa.binary())], names=["chunk", "bucket", "bits"])
 
 
@@ -306,7 +356,8 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
         chunk = left["chunk"][0].as_py()
         own = _Chunk(left["blob"][0].as_py())
         own.segments(dict(zip(right["bucket"].to_pylist(), right["bits"].to_pylist())), buckets)
-        blobs = [pack_arrays(pa.array([own.texts[i] for i in rows.tolist()], pa.binary()), own.least[rows]) for rows in own.sent]
+        blobs = [pack_arrays(pa.array([own.texts[i] for i in rows.tolist()], pa.binary()), own.least[rows], own.part[rows]) for rows in own.sent]
+        release()
         return pa.table([pa.array(own.sent_to, pa.int32()), pa.array([chunk] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "chunk", "blob"])
 
     parts = chunks.select("chunk", "blob").groupBy("chunk").cogroup(seen.groupBy("chunk")).applyInArrow(segments, "bucket int, chunk long, blob binary")
