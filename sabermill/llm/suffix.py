@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sabermill.llm.chunks import bucket_count, chunked, cuts, pack_arrays, read_chunk, unpack
-from sabermill.llm.kernels import mix64, release, slices
+from sabermill.llm.kernels import mix64, release, slices, utf8
 from sabermill.llm.shared import Scratch
 
 LENGTH, FILTER, ANCHOR = 50, 32, 12
@@ -186,11 +186,9 @@ class SuffixArray:
     def __init__(self, raw: np.ndarray, offs: np.ndarray) -> None:
         n = len(raw)
         self.raw = np.concatenate([raw, np.zeros(8, np.uint8)])
-        self.left = np.empty(n, np.uint8)  # bytes up to the segment's end, 255 for more
-        for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
-            self.left[a:b] = 255
-            near = min(b - a, 255)
-            self.left[b - near : b] = np.arange(near, 0, -1)
+        left = np.repeat(offs[1:], np.diff(offs)) - np.arange(n)
+        self.left = np.minimum(left, 255).astype(np.uint8)  # bytes up to the segment's end, 255 for more
+        del left
         # 7 bytes, zeros beyond the segment's end, then how many of them are inside: an end comes before every byte
         key = self.load(slice(None)).astype(np.uint64)
         near = np.flatnonzero(self.left < 7)
@@ -298,14 +296,15 @@ def _seen_in_several(table: pa.Table) -> pa.Table:
 def _factors(table: pa.Table) -> pa.Table:
     """One bucket's segments: for each chunk, which of its windows start in a smaller document."""
     chunk, texts, docs, parts, sizes = table["chunk"].to_pylist(), [], [], [], []
-    for blob in table["blob"].to_pylist():
-        batch = unpack(blob)
-        texts += batch.column(0).to_pylist()
+    for blob in table["blob"]:
+        batch = unpack(blob.as_py())
+        texts.append(batch.column(0).cast(pa.large_binary()))
         docs.append(np.asarray(batch.column(1)))
         parts.append(np.asarray(batch.column(2)))
         sizes.append(batch.num_rows)
-    doc, part = np.concatenate(docs), np.concatenate(parts)
-    lens = np.array([len(t) for t in texts], np.int64)
+    segments, doc, part = pa.concat_arrays(texts), np.concatenate(docs), np.concatenate(parts)
+    del texts, docs, parts
+    lens = np.diff(utf8(segments)[1])
     starts = lens - LENGTH + 1  # places of each segment at which a string of LENGTH bytes fits
     of = np.concatenate([[0], np.cumsum(starts)])
     gone = np.zeros(int(of[-1]), bool)
@@ -319,13 +318,13 @@ def _factors(table: pa.Table) -> pa.Table:
         hi = int(fit[-1]) if len(fit) else int(last[last > lo][0])
         own = by[lo:hi]
         own = own[np.argsort(doc[own], kind="stable")]
-        offs = np.concatenate([[0], np.cumsum(lens[own])])
-        factor = previous_factors(np.frombuffer(b"".join([texts[i] for i in own.tolist()]), np.uint8), offs, doc[own])
+        raw, offs = utf8(segments.take(pa.array(own)))
+        factor = previous_factors(raw, offs, doc[own])
         gone[np.repeat(of[own], starts[own]) + _ranges(starts[own])] = factor[np.repeat(offs[:-1], starts[own]) + _ranges(starts[own])] >= LENGTH
         lo = hi
     edge = of[np.concatenate([[0], np.cumsum(sizes)])]
     bits = [np.packbits(gone[a:b]).tobytes() for a, b in zip(edge, edge[1:])]
-    del gone, texts
+    del gone, segments
     release()
     return pa.table([pa.array(chunk, pa.int64()), pa.array([table["bucket"][0].as_py()] * len(chunk), pa.int32()), pa.array(bits, pa.binary())], names=["chunk", "bucket", "bits"])
 

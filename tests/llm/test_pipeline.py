@@ -48,3 +48,19 @@ def test_hot_bucket_links_like_a_cool_one(spark, monkeypatch):
         monkeypatch.setattr(simhash, "BUCKET", bucket)
         assert sorted(map(tuple, simhash.near_copies(docs, Scratch(spark)).collect())) == want
     assert simhash.near_copies(docs.where(F.lit(False)), Scratch(spark)).count() == 0
+
+
+def test_stages_take_clashing_names(spark, tmp_path):
+    """Columns named like what the stages add or use on the way are carried through with their values."""
+    rows, leak, _ = corpus()
+    names = ["removed_chunks", "Removed_Lines", "total_lines", "gone_id", "component", "gone", "c0", "ids"]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)]).drop("id")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = docs
+    for name, stage in p.STAGES[:-1]:
+        now = Scratch(spark).write(stage(spark, now, str(tmp_path)), name)
+        assert now.columns == docs.columns
+    found = now.collect()
+    assert found and all([r[n] for n in names] == list(range(len(names))) for r in found)
+    assert p.STAGES[-1][1](spark, now, str(tmp_path)).count() >= len(found)
