@@ -341,11 +341,11 @@ def position_labels(t):
     return ranked.select("player", label.alias("label"), F.array_join(markets, ",").alias("own"), F.concat(F.lit("_OPP_"), markets[0]).alias("against"))
 
 
-@query("interaction_features", "WITH {offers} SELECT okey, lnum, price, player, round(over * proj + 1e-7, 4) AS over_x_proj, round(over * sharp + 1e-7, 4) AS over_x_sharp, round(proj * sharp + 1e-7, 4) AS proj_x_sharp FROM offers")
+@query("interaction_features", "WITH {offers} SELECT okey, lnum, price, player, round(over * proj + 1.37e-9, 4) AS over_x_proj, round(over * sharp + 1.37e-9, 4) AS over_x_sharp, round(proj * sharp + 1.37e-9, 4) AS proj_x_sharp FROM offers")
 def interactions(t):
     features = ["over", "proj", "sharp"]
     products = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    return t.offers.select("okey", "lnum", "price", "player", *[r(c(a) * c(b)).alias(f"{a}_x_{b}") for a, b in products])
+    return t.offers.select("okey", "lnum", "price", "player", *[F.round(c(a) * c(b) + F.lit(1.37e-9), 4).alias(f"{a}_x_{b}") for a, b in products])  # products have up to eight digits, so the nudge has more
 
 
 @query("playoff_flag", "SELECT o_orderkey AS game, substr(lpad(CAST(o_orderkey AS VARCHAR), 8, '0'), 7, 1) IN ('4', '5') AS playoff, CAST(CASE WHEN substr(lpad(CAST(o_orderkey AS VARCHAR), 8, '0'), 7, 1) IN ('4', '5') THEN CASE WHEN o_orderkey % 10 < 4 THEN 3 ELSE 4 END ELSE 0 END AS BIGINT) AS to_win FROM orders")
