@@ -100,7 +100,9 @@ def license_scan(files: DataFrame, scratch: Scratch, id_col: str = "doc_id", pat
         return f"if(size(lines) >= {k}, filter({found}, b -> {enough('b.words')}), array())"
 
     needed = "|".join(_needed(own, weight))
-    marked = src.select("id", "path", "low", F.monotonically_increasing_id().alias("row"), F.expr(f"if(low rlike '{needed}', split(low, '\n'), array())").alias("lines"))
+    # a file of which all words together are not enough has no block that is; only the others are cut into lines
+    marked = src.withColumn("hit", F.expr(f"array_intersect(split(low, '{_SPLIT}'), {_array(vocabulary)})"))
+    marked = marked.select("id", "path", "low", F.monotonically_increasing_id().alias("row"), F.expr(f"if({enough('hit')}, split(low, '\n'), array())").alias("lines"))
     marked = marked.withColumn("flags", F.expr(f"transform(lines, l -> l rlike '{needed}')"))
     marked = marked.withColumn("blocks", F.expr(f"concat({', '.join(blocks(k) for k in BLOCKS)})"))
     whole = F.expr(f"if(size(blocks) > 0, array_append(blocks, struct(0 AS k, {distinct('low')} AS words)), array())")
