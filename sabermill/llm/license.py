@@ -109,14 +109,15 @@ def license_scan(files: DataFrame, scratch: Scratch, id_col: str = "doc_id", pat
     found = scratch.write(marked.select("row", "id", "path", F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), whole.alias("blocks")), "found")
     said = found.select("row", F.posexplode("blocks").alias("block", "b")).select("row", "block", "b.k", F.explode("b.words").alias("t"))
     said = scratch.write(said, "terms")
-    counted = src.select(F.explode(F.expr(distinct("low"))).alias("t")).join(said.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count("*").alias("df"))
+    wanted = scratch.write(said.select("t").distinct(), "wanted")  # a table of known size, so that Spark broadcasts it while it is small
+    counted = src.select(F.explode(F.expr(distinct("low"))).alias("t")).join(wanted, "t", "left_semi").groupBy("t").agg(F.count("*").alias("df"))
     w = F.pow(F.log((1 + F.lit(float(n))) / (1 + F.col("df"))) + 1, 2)
     dots = [F.sum(F.when(F.col("t").isin(own[name]), F.col("w")).otherwise(0.0)).alias(f"d{i}") for i, name in enumerate(names)]
     cosine = [F.struct(F.round(F.col(f"d{i}") / F.sqrt(F.col("norm") * F.lit(norm[name])), 6).alias("s"), F.lit(-i).alias("order"), F.lit(name.split("/")[0]).alias("license")) for i, name in enumerate(names)]
     scored = said.join(counted.select("t", w.alias("w")), "t").groupBy("row", "block", "k").agg(F.sum("w").alias("norm"), *dots).select("row", "k", F.array_max(F.array(*cosine)).alias("b"))
     near = (F.col("k") > 0) & (F.col("b.s") >= LINE)
     best = scored.groupBy("row").agg(F.count_if(near & (F.col("k") == 1)).alias("matched"), F.max(F.when(near, F.col("b"))).alias("top"), F.max(F.when(F.col("k") == 0, F.col("b.s"))).alias("whole")).where("top IS NOT NULL")
-    files = found.select("row", "id", "path", "dir").join(best, "row", "left")
+    files = found.select("row", "id", "path", "dir").join(scratch.write(best, "best"), "row", "left")
     given = files.where(f"top IS NOT NULL AND whole >= {FILE} AND path <> ''").groupBy("dir").agg(F.min(F.struct((-F.col("whole")).alias("w"), "top.license")).alias("g")).select(F.col("dir").alias("above"), F.col("g.license").alias("given"))
     given = scratch.write(given, "given")
     root = given.where("above = ''").agg(F.first("given").alias("root"))  # one row, whatever there is
