@@ -29,7 +29,7 @@ def sweep(t):
 
 @query("corrupt_seed_detection", """WITH {quotes} SELECT okey, lnum, entity, book FROM quotes q WHERE EXISTS (SELECT 1 FROM quotes s WHERE s.entity = q.entity GROUP BY s.entity HAVING count(DISTINCT s.book) >= 12 AND stddev_pop(s.line) < 14)""")
 def corrupt(t):
-    groups = t.quotes.groupBy("entity").agg(F.countDistinct("book").alias("books"), F.stddev_pop("line").alias("sd")).where("books >= 12 AND sd < 14")
+    groups = t.quotes.groupBy("entity").agg(F.countDistinct("book").alias("books"), agg.deviation_below("line", 14).alias("even")).where("books >= 12 AND even")
     return t.quotes.join(groups, "entity", "left_semi").select("okey", "lnum", "entity", "book")
 
 

@@ -82,3 +82,22 @@ def test_names(spark):
     rows = spark.createDataFrame([(k, v) for k, v in cases.items()], "name string, want string")
     got = rows.select("name", "want", normalised(F.col("name"), {"A Jones": "Al Jones"}).alias("got")).collect()
     assert [(r.name, r.got) for r in got] == [(r.name, r.want) for r in got]
+
+
+def test_deviation_of_exactly_the_limit_is_not_below(spark, tmp_path):
+    from sabermill.operators.aggregates import deviation_below
+
+    tie = [30, 48, 10, 10, 20, 44, 48, 39, 14, 40, 15, 37, 24, 42, 49, 18]  # deviation 14; sums in floating point stay under it
+    groups = {"tie": tie, "tie_cents": [x + 0.25 for x in tie], "under": [*tie[:-1], 19], "over": [*tie[:-1], 17], "thirds": [x / 3 for x in tie], "nan": [*tie, math.nan], "huge": [1e300, -1e300], "none": [None]}
+    rows = [(k, None if x is None else float(x)) for k, v in groups.items() for x in v]
+    got = spark.createDataFrame(rows, "k string, v double").coalesce(1).groupBy("k").agg(deviation_below("v", 14).alias("x"), (F.stddev_pop("v") < 14).alias("plain"))
+    got = {r.k: (r.x, r.plain) for r in got.collect()}
+    assert got["tie"] == (False, True) and got["tie_cents"][0] is False
+    assert [got[k][0] for k in ("under", "over", "thirds", "nan", "huge")] == [True, False, True, False, False] and not got["none"][0]
+
+    from sabermill.plans.base import QUERIES
+    import sabermill.plans.maintenance  # noqa: F401
+
+    quotes = spark.createDataFrame([(1, b, float(x)) for b, x in enumerate(tie)] + [(2, b, float(x)) for b, x in enumerate(groups["under"])], "l_partkey long, l_suppkey long, l_quantity double")
+    quotes.selectExpr("*", "1D AS l_extendedprice", "0D AS l_discount", "timestamp_ntz'2020-01-01' AS l_shipdate", "l_suppkey AS l_orderkey", "1 AS l_linenumber", "0D AS l_tax").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r.entity for r in QUERIES["corrupt_seed_detection"](spark, str(tmp_path)).collect()} == {2}
