@@ -110,7 +110,8 @@ def license_scan(files: DataFrame, scratch: Scratch, id_col: str = "doc_id", pat
     said = found.select("row", F.posexplode("blocks").alias("block", "b")).select("row", "block", "b.k", F.explode("b.words").alias("t"))
     said = scratch.write(said, "terms")
     wanted = scratch.write(said.select("t").distinct(), "wanted")  # a table of known size, so that Spark broadcasts it while it is small
-    counted = src.select(F.explode(F.expr(distinct("low"))).alias("t")).join(wanted, "t", "left_semi").groupBy("t").agg(F.count("*").alias("df"))
+    # counted before the join, which is inner as a semi-join would be pushed below the count: a task sends each of its terms once, not once a file
+    counted = src.select(F.explode(F.expr(distinct("low"))).alias("t")).groupBy("t").agg(F.count("*").alias("df")).join(wanted, "t")
     w = F.pow(F.log((1 + F.lit(float(n))) / (1 + F.col("df"))) + 1, 2)
     dots = [F.sum(F.when(F.col("t").isin(own[name]), F.col("w")).otherwise(0.0)).alias(f"d{i}") for i, name in enumerate(names)]
     cosine = [F.struct(F.round(F.col(f"d{i}") / F.sqrt(F.col("norm") * F.lit(norm[name])), 6).alias("s"), F.lit(-i).alias("order"), F.lit(name.split("/")[0]).alias("license")) for i, name in enumerate(names)]

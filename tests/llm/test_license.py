@@ -47,3 +47,27 @@ def test_common_words_cost_little(spark):
     files = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumn("license", F.lit(1)).withColumn("row", F.lit(2))
     got = {r.doc_id: (r.license, r.origin) for r in lic.license_scan(files, Scratch(spark)).collect()}
     assert got.pop(900) == ("MIT", "header") and set(got.values()) == {("MIT", "inherited")}
+
+
+def test_terms_are_counted_before_they_are_shuffled(spark):
+    plans = {}
+
+    class Seen(Scratch):
+        def write(self, df, name):
+            plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+            return super().write(df, name)
+
+    rows = [(i, f"d/{i}", "Released under the MIT License." if i % 2 else f"some other words {i}") for i in range(8)]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.doc_id: r.license for r in lic.license_scan(files, Seen(spark)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {k for k, v in got.items() if v == "MIT"} >= {1, 3, 5, 7}
+    # no join lies between the terms of the files and their count
+    counted = plans["best"].splitlines()
+    words = next(i for i, line in enumerate(counted) if "Generate explode" in line and "low" in line)
+    above = next(i for i in range(words - 1, -1, -1) if "Join" in counted[i] or "Aggregate" in counted[i])
+    assert "Aggregate" in counted[above] and "LeftSemi" not in plans["best"], plans["best"]
