@@ -101,3 +101,32 @@ def test_deviation_of_exactly_the_limit_is_not_below(spark, tmp_path):
     quotes = spark.createDataFrame([(1, b, float(x)) for b, x in enumerate(tie)] + [(2, b, float(x)) for b, x in enumerate(groups["under"])], "l_partkey long, l_suppkey long, l_quantity double")
     quotes.selectExpr("*", "1D AS l_extendedprice", "0D AS l_discount", "timestamp_ntz'2020-01-01' AS l_shipdate", "l_suppkey AS l_orderkey", "1 AS l_linenumber", "0D AS l_tax").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert {r.entity for r in QUERIES["corrupt_seed_detection"](spark, str(tmp_path)).collect()} == {2}
+
+
+def test_beam_search_of_many_games_matches_one_by_one(spark, monkeypatch):
+    def alone(legs, size, beam, least):
+        t = sorted(legs)
+        level = [((i,), x[2], x[3]) for i, x in enumerate(t)]
+        for _ in range(size - 1):
+            grown = [((*c, j), x * t[j][2], y * t[j][3]) for c, x, y in level for j in range(c[-1] + 1, len(t)) if t[j][1] is None or t[j][1] not in {t[k][1] for k in c}]
+            level = sorted(grown, key=lambda s: (-s[1] * s[2], s[0]))[:beam]
+        return {(tuple(t[i][0] for i in c), x, y, x * y) for c, x, y in level if x * y >= least}
+
+    rng = np.random.default_rng(5)
+    games = {g: [(10 * i, int(rng.integers(0, 6)) if rng.random() < 0.9 else None, float(rng.choice([0.4, 0.6, 0.7])), float(rng.choice([1.5, 2.0]))) for i in rng.permutation(int(n)).tolist()] for g, n in enumerate(rng.integers(1, 15, 60))}
+    rows = [(None if g == 7 else g, *x) for g, own in games.items() for x in own]
+    df = spark.createDataFrame(rows, "game long, leg long, player long, prob double, boost double")
+    for size, beam in ((1, 3), (2, 5), (3, 1000), (3, 9), (4, 20)):
+        got = search.beam_search(df, "game", "leg", "player", "prob", "boost", size=size, beam=beam).collect()
+        assert len(got) == len({(r.game, tuple(r.legs)) for r in got})
+        for g, own in games.items():
+            assert {(tuple(r.legs), r.prob, r.payout, r.ev) for r in got if r.game == (None if g == 7 else g)} == alone(own, size, beam, 1.05), (g, size, beam)
+    assert search.beam_search(df.where("false"), "game", "leg", "player", "prob", "boost").count() == 0
+    own, who, p = np.repeat([0, 1, 2], [9, 1, 30]), rng.integers(0, 9, 40), rng.random(40)
+    whole = search._grow((own, np.arange(40)[:, None], p, p), np.array([9, 10, 40]), who, p, p, 12)
+    for grown in (1, 7, 50):
+        monkeypatch.setattr(search, "GROWN", grown)
+        parts = search._grow((own, np.arange(40)[:, None], p, p), np.array([9, 10, 40]), who, p, p, 12)
+        assert all((a == b).all() for a, b in zip(search._cut(whole, 12), search._cut(parts, 12)))
+    # a call of Python code for each game is what took the time
+    assert "FlatMapGroupsInPandas" not in search.beam_search(df, "game", "leg", "player", "prob", "boost")._jdf.queryExecution().optimizedPlan().toString()
