@@ -22,3 +22,31 @@ def test_comps_within_match_brute_force(spark, least, most):
             want |= {(i, j, round(d, 6)) for d, j in kept}
     got = {(r.player, r.comp, r.dist) for r in comps_within(spark.createDataFrame(rows, "id long, pos string, v array<double>"), "id", "pos", "v", least, most).collect()}
     assert got == want and beyond > 5
+
+
+def test_comps_match_brute_force(spark, monkeypatch):
+    from sabermill.operators import neighbors
+    from sabermill.operators.neighbors import comps
+
+    monkeypatch.setattr(neighbors, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    rows = [(i, "ab"[i % 2], (rng.integers(0, 3, 3) / 7).tolist()) for i in range(90)]  # many ties
+    rows += [(200 + i, "a", v) for i, v in enumerate([None, [0.0, None, 1.0], [1.0], [float("nan"), 0.0, 0.0], [float("inf"), 0.0, 0.0]])]
+    rows += [(300, "c", [1.0]), (301, None, [1.0]), (302, "d", [0.0]), (303, "d", [2.0000005])]
+
+    def apart(v, w):
+        if v is None or w is None or len(v) != len(w) or None in v or None in w:
+            return (2, 0.0)
+        x = sum((p - q) * (p - q) for p, q in zip(v, w)) ** 0.5
+        return (1, 0.0) if x != x else (0, round(x, 6))
+
+    for k in (1, 5):
+        want = {(i, j, d if d[0] != 0 else (0, round(d[1], 5))) for i, p, v in rows for d, j in sorted((apart(v, w), j) for j, o, w in rows if p and o == p and j != i)[:k]}
+        df = spark.createDataFrame(rows, "id long, pos string, v array<double>")
+        out = comps(df, "id", "pos", "v", k)
+        got = {(r.player, r.comp, (2, 0.0) if r.dist is None else (1, 0.0) if r.dist != r.dist else (0, round(r.dist, 5))) for r in out.collect()}
+        assert got == want
+    assert [r.dist for r in out.where("player = 302").collect()] == [2.000001]
+    # no row for each pair of players: that is what took the time
+    assert "Join Inner" not in out._jdf.queryExecution().optimizedPlan().toString().split("CoGroup")[0]
+    assert "CoGroup" in out._jdf.queryExecution().optimizedPlan().toString()
