@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -12,18 +13,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-_PPF_STEPS = 60
+#: Normal numbers of entries that are priced together.
+BLOCK = 1 << 17
 
 
 def normal_quantile(p: np.ndarray) -> np.ndarray:
-    """The standard normal's quantile, by bisection of its distribution function."""
-    lo, hi = np.full(len(p), -9.0), np.full(len(p), 9.0)
-    erf = np.frompyfunc(math.erf, 1, 1)
-    for _ in range(_PPF_STEPS):
-        mid = (lo + hi) / 2
-        low = 0.5 * (1 + erf(mid / math.sqrt(2)).astype(float)) < p
-        lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
-    return (lo + hi) / 2
+    """The standard normal's quantile, within -9 and 9; -9 for NaN."""
+    p = np.asarray(p, float)
+    out = np.where(p >= 1, 9.0, -9.0)
+    inside = (p > 0) & (p < 1)
+    out[inside] = np.clip(np.fromiter(map(NormalDist().inv_cdf, p[inside].tolist()), float), -9.0, 9.0)
+    return out
 
 
 def nearest_correlation(matrix: np.ndarray) -> np.ndarray:
@@ -36,39 +36,70 @@ def nearest_correlation(matrix: np.ndarray) -> np.ndarray:
     return fixed / np.outer(scale, scale)
 
 
-def price(p: np.ndarray, push: np.ndarray, rho: np.ndarray, payouts: dict[tuple[int, int], float], draws: int, seed: int) -> tuple[float, float]:
-    """(chance that every leg wins, mean payout) of one entry over ``draws`` draws; a push takes its leg out, and an entry of under two legs is paid back."""
-    n = len(p)
-    factor = np.linalg.cholesky(nearest_correlation(rho) + 1e-12 * np.eye(n))
-    half = np.random.default_rng(seed).standard_normal((draws // 2, n)) @ factor.T
-    z = np.concatenate([half, -half])
-    win = z < normal_quantile(np.clip(p, 1e-12, 1 - 1e-12))
-    out = ~win & (z < normal_quantile(np.clip(p + push, 1e-12, 1 - 1e-12)))
-    legs, misses = n - out.sum(axis=1), (~win & ~out).sum(axis=1)
-    table = np.zeros((n + 1, n + 1))
+def prices(p: np.ndarray, push: np.ndarray, rho: np.ndarray, payouts: dict[tuple[int, int], float], draws: int, seeds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(chances that every leg wins, mean payouts) of entries of as many legs each, over ``draws`` draws an entry; a push takes its leg out, and an entry of under two legs is paid back."""
+    count, n = p.shape
+    rho = rho.copy()
+    for i in np.flatnonzero(~(np.linalg.eigvalsh((rho + rho.swapaxes(1, 2)) / 2).min(axis=1) >= 1e-9)):
+        rho[i] = nearest_correlation(rho[i])
+    factor = np.linalg.cholesky(rho + 1e-12 * np.eye(n))
+    win = normal_quantile(np.clip(p, 1e-12, 1 - 1e-12).ravel()).reshape(count, n, 1)
+    out = np.maximum(win, normal_quantile(np.clip(p + push, 1e-12, 1 - 1e-12).ravel()).reshape(count, n, 1))
+    table = np.zeros((n + 1, n + 1))  # by legs taken out and misses
     for (size, missed), pays in payouts.items():
         if size <= n and missed <= n:
-            table[size, missed] = pays
-    paid = np.where(legs < 2, 1.0, table[legs, misses])
-    return float((win.all(axis=1)).mean()), float(paid.mean())
+            table[n - size, missed] = pays
+    table[max(n - 1, 0) :] = 1.0
+    half, cells = draws // 2, table.size
+    step = max(1, min(count, BLOCK // max(half * n, 1)))
+    tally, drawn, held = np.empty((count, cells), np.int64), np.empty((step, half, n)), np.empty((step, n, half))
+    for lo in range(0, count, step):
+        hi = min(lo + step, count)
+        z, x = drawn[: hi - lo], held[: hi - lo]
+        for k in range(lo, hi):
+            np.random.default_rng(seeds[k]).standard_normal(out=z[k - lo])
+        np.matmul(factor[lo:hi], z.swapaxes(1, 2), out=x)
+        base, seen = np.arange(hi - lo)[:, None] * cells, 0
+        for beyond in (lambda q: x >= q, lambda q: x <= -q):  # each draw and its mirror image
+            lost, missed = (np.add.reduce(beyond(q[lo:hi]), axis=1, dtype=np.int16) for q in (win, out))
+            seen = seen + np.bincount((base + (lost * np.int16(n + 1) - missed * np.int16(n))).ravel(), minlength=(hi - lo) * cells)
+        tally[lo:hi] = seen.reshape(hi - lo, cells)
+    return tally[:, 0] / (2 * half), tally @ table.ravel() / (2 * half)
+
+
+def price(p: np.ndarray, push: np.ndarray, rho: np.ndarray, payouts: dict[tuple[int, int], float], draws: int, seed: int) -> tuple[float, float]:
+    """``prices`` of one entry."""
+    win, paid = prices(p[None], push[None], rho[None], payouts, draws, [seed])
+    return float(win[0]), float(paid[0])
 
 
 def copula_prices(entries: DataFrame, key: str, p: str, push: str, rho: str, payouts: dict[tuple[int, int], float], draws: int = 4096) -> DataFrame:
     """(key, win, payout) of entries with arrays of legs' chances and push chances and a flat correlation matrix; the draws of an entry depend on its key alone.
 
-    Entries are rows and are priced where they lie; an entry without legs wins nothing and is paid back.
+    Entries are rows and are priced where they lie, those of as many legs together; an entry without legs wins nothing and is paid back.
     """
     kind = entries.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for k, a, b, m in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                n = len(a or [])
-                out.append(price(np.array(a, float), np.array(b, float), np.array(m, float).reshape(n, n), payouts, draws, zlib.crc32(str(k).encode())) if n else (0.0, 1.0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], pa.float64()), pa.array([x for _, x in out], pa.float64())], ["key", "win", "payout"])
-
-    return entries.select(F.col(key).alias("key"), p, push, rho).mapInArrow(run, f"key {kind}, win double, payout double").withColumnRenamed("key", key)
+            size, start, flat = [], [], []
+            for i in (1, 2, 3):
+                lists = batch.column(i)
+                size.append(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+                start.append(np.cumsum(size[-1]) - size[-1])
+                flat.append(lists.flatten().to_numpy(zero_copy_only=False).astype(float))
+            n = size[0]
+            if ((n > 0) & ((size[1] != n) | (size[2] != n * n))).any():
+                raise ValueError("an entry needs a push chance a leg and a correlation a pair of legs")
+            seeds = [zlib.crc32(str(k).encode()) for k in batch.column(0).to_pylist()]
+            win, paid = np.zeros(len(n)), np.ones(len(n))
+            for legs in np.unique(n[n > 0]).tolist():
+                at = np.flatnonzero(n == legs)
+                a, b, m = (x[s[at, None] + np.arange(k)] for x, s, k in zip(flat, start, (legs, legs, legs * legs)))
+                win[at], paid[at] = prices(a, b, m.reshape(-1, legs, legs), payouts, draws, [seeds[i] for i in at.tolist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(win), pa.array(paid)], ["key", "win", "payout"])
+
+    return entries.select(F.col(key).alias("key"), F.col(p).cast("array<double>"), F.col(push).cast("array<double>"), F.col(rho).cast("array<double>")).mapInArrow(run, f"key {kind}, win double, payout double").withColumnRenamed("key", key)
 
 
 @F.pandas_udf(DoubleType())

@@ -39,3 +39,24 @@ def test_columns(spark):
     f = spark.createDataFrame([(0.0, 1.0, -1.959964, 1.959964), (0.0, 2.0, -1.959964, 1.959964), (0.0, 0.1, -9.0, 9.0)], "m double, s double, a double, b double")
     assert [r.f for r in f.select(bounds_factor("m", "s", "a", "b").alias("f")).collect()] == pytest.approx([1.0, 0.5, 1.0], abs=1e-4)
     assert f.where(F.lit(False)).select(bounds_factor("m", "s", "a", "b").alias("f")).count() == 0
+
+
+def test_entries_priced_together_match_draws_counted_one_by_one():
+    from sabermill.operators.pricing import prices
+
+    rng = np.random.default_rng(3)
+    payouts = {(2, 0): 3.0, (3, 0): 6.0, (4, 0): 10.0, (4, 1): 1.5}
+    for n in (1, 2, 4):
+        p, push = rng.uniform(0.05, 1.0, (40, n)), rng.uniform(-0.05, 0.4, (40, n))
+        rho = np.eye(n) + rng.choice([-0.6, 0.3], (40, 1, 1)) * (1 - np.eye(n))
+        got = prices(p, push, rho, payouts, 4096, list(range(40)))
+        for i in range(40):
+            half = np.random.default_rng(i).standard_normal((2048, n)) @ np.linalg.cholesky(nearest_correlation(rho[i]) + 1e-12 * np.eye(n)).T
+            upto = normal_quantile(np.minimum(p[i], 1 - 1e-12)), normal_quantile(np.clip(p[i] + push[i], 1e-12, 1 - 1e-12))
+            won = paid = 0
+            for z in np.concatenate([half, -half]):
+                out = int(((z >= upto[0]) & (z < upto[1])).sum())
+                wins = int((z < upto[0]).sum())
+                won += wins == n
+                paid += 1.0 if n - out < 2 else payouts.get((n - out, n - out - wins), 0.0)
+            assert (got[0][i], got[1][i]) == pytest.approx((won / 4096, paid / 4096), abs=1e-12)
