@@ -19,7 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated passages of two or more non-blank lines; documents of which nothing but white space is left go. n_chars follows the text."""
+    """Removes repeated passages of two or more non-blank lines, found by content-defined chunks and carried on to their ends; documents of which nothing but white space is left go. n_chars follows the text."""
     cut, removed = passage_dedup(docs, Scratch(spark)), added_columns(docs.columns)[0]
     left = cut.where((F.col(removed) == 0) | F.col("text").rlike(r"[^\s]"))
     length = F.when(F.col(removed) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None

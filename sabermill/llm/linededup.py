@@ -1,15 +1,16 @@
-"""Line dedup by repeated passages, and by content-defined chunks of lines.
+"""Line dedup by content-defined chunks of lines, whole passages or chunks alone.
 
-``passage_dedup`` looks at every two neighbouring non-blank lines, with the blank ones between them: a passage of two or more non-blank lines is the union of such pairs, so
-each line of one that an earlier document has, byte for byte, is removed wherever the passage begins and ends.
+A rolling hash over each line and the one before puts a boundary after about every ``LINES``-th line, so the same passage is cut alike wherever it stands. Chunks of two or more
+non-blank lines are compared; shorter ones, and those at a passage's ends, are not.
 
-``line_dedup`` only looks at chunks: a rolling hash over each line and the one before puts a boundary after about every ``LINES``-th line, so the same passage is cut alike wherever
-it stands. Chunks of two or more non-blank lines are compared; shorter ones, and those at a passage's ends, stay.
+``line_dedup`` stops there. ``passage_dedup`` then carries each passage on to its ends: every two neighbouring non-blank lines, with the blank ones between them, that lie in no chunk
+which a smaller document has are compared too. A passage of two or more non-blank lines is the union of such pairs, so each line of one that an earlier document has, byte for byte, is
+removed wherever the passage begins and ends. No pair is lost by leaving out those in repeated chunks: the smallest document that has a pair has it outside of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,17 @@ def pairs(text: bytes) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def chunk_pairs(text: bytes) -> tuple[dict[int, set[int]], set[int]]:
+    """The hashes of the chunks of two or more non-blank lines, each with those of the pairs inside it, and the hashes of the pairs that lie in no such chunk."""
+    whole = [c for c in chunks(text) if c[3]]
+    inside, loose, k = {h: set() for *_, h in whole}, set(), 0
+    for a, b, _, h in pairs(text):
+        while k < len(whole) and whole[k][1] < b:
+            k += 1
+        (inside[whole[k][3]] if k < len(whole) and whole[k][0] <= a else loose).add(h)
+    return inside, loose
+
+
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
@@ -85,7 +97,7 @@ def line_dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     repeats inside themselves. All columns are carried whatever their names. Hashes alone are grouped, map-side first; the bytes of chunks whose hash
     several documents have are then compared by a join in which AQE splits hot hashes.
     """
-    return _dedup(docs, scratch, id_col, text_col, chunks, _cut)
+    return _dedup(docs, scratch, id_col, text_col, False)
 
 
 def passage_dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,14 +105,14 @@ def passage_dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
 
     removed_chunks counts the runs of lines that go. Of each line that goes, an equal one stays in a smaller document or further up.
     """
-    return _dedup(docs, scratch, id_col, text_col, pairs, _cut_passages)
+    return _dedup(docs, scratch, id_col, text_col, True)
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (batch.slice(lo, ROWS) for batch in batches for lo in range(0, batch.num_rows, ROWS))
 
 
-def _dedup(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, units: Callable[[bytes], list[tuple[int, int, int, int]]], cut_text: Callable[[str, set[int]], tuple[str, int, int, int]]) -> DataFrame:
+def _dedup(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, passages: bool) -> DataFrame:
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
@@ -108,42 +120,57 @@ def _dedup(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, units:
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            ids, hashes = [], []
+            ids, hashes, within = [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = {h for _, _, _, h in units(t.encode()) if h}
-                ids += [i] * len(found)
-                hashes += map(_signed, sorted(found))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64())], ["id", "hash"])
+                inside, loose = chunk_pairs(t.encode()) if passages else ({h: () for *_, h in chunks(t.encode()) if h}, ())
+                ids += [i] * (len(inside) + bool(loose))
+                hashes += map(_signed, inside)
+                within += [list(map(_signed, sorted(x))) for x in inside.values()]
+                if loose:
+                    hashes.append(None)
+                    within.append(list(map(_signed, sorted(loose))))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(within, pa.list_(pa.int64()))], ["id", "hash", "pairs"])
         release()
 
-    found = scratch.write(rows.where("id IS NOT NULL AND instr(text, '\n') > 0").mapInArrow(own, "id long, hash long"), "chunks")
-    repeated = found.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("hash", "first")
-    wanted = found.join(repeated, "hash").groupBy("id").agg(F.collect_set(F.struct("hash", "first")).alias("wanted"))
+    found = scratch.write(rows.where("id IS NOT NULL AND instr(text, '\n') > 0").mapInArrow(own, "id long, hash long, pairs array<long>"), "chunks")
+    whole = found.where("hash IS NOT NULL")
+    # a chunk that a smaller document has speaks for the pairs inside it; all other pairs are compared by themselves
+    known = whole.join(_repeated(whole), "hash", "left").select("id", "hash", "first", "pairs").unionByName(found.where("hash IS NULL").withColumn("first", F.lit(None).cast("long")))
+    unit = "named_struct('whole', {}, 'hash', {}, 'first', {})"
+    chunk = f"IF(first IS NULL, array(), array({unit.format('true', 'hash', 'first')}))"
+    inner = f"IF(first < id, array(), transform(pairs, p -> {unit.format('false', 'p', 'cast(null AS long)')}))"
+    units = scratch.write(known.selectExpr("id", f"inline(concat({chunk}, {inner}))"), "units")
+    loose = units.where("NOT whole").drop("first")
+    wanted = units.where("whole").unionByName(loose.join(_repeated(loose), "hash")).groupBy("id").agg(F.collect_set(F.struct("whole", "hash", "first")).alias("wanted"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+
         def taken(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["id", "hash", "first", "bytes"])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["id", "whole", "hash", "first", "bytes"])
 
         for batch in _parts(batches):
             out: list[tuple] = []
             size = 0
             for i, t, wants in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                first, raw = {w["hash"]: w["first"] for w in wants}, t.encode()
-                for a, b, _, h in units(raw):
-                    if h and (s := _signed(h)) in first:
-                        out.append((i, s, first.pop(s), raw[a:b]))
-                        size += b - a
-                        if size > FLUSH:
-                            yield taken(out)
-                            out, size = [], 0
+                raw = t.encode()
+                for kind, cut in ((True, chunks), (False, pairs)):
+                    first = {w["hash"]: w["first"] for w in wants if w["whole"] == kind}
+                    for a, b, _, h in cut(raw) if first else ():
+                        if h and (s := _signed(h)) in first:
+                            out.append((i, kind, s, first.pop(s), raw[a:b]))
+                            size += b - a
+                            if size > FLUSH:
+                                yield taken(out)
+                                out, size = [], 0
             yield taken(out)
         release()
 
-    held = scratch.write(rows.join(wanted, "id").select("id", "text", "wanted").mapInArrow(texts, "id long, hash long, first long, bytes binary"), "bytes")
+    held = scratch.write(rows.join(wanted, "id").select("id", "text", "wanted").mapInArrow(texts, "id long, whole boolean, hash long, first long, bytes binary"), "bytes")
     later, first = held.where("id <> first").alias("l"), held.where("id = first").alias("f")
-    same = later.join(first, F.expr("l.hash = f.hash AND l.bytes = f.bytes"), "left_semi")
-    gone = same.groupBy("id").agg(F.collect_set("hash").alias("gone")).withColumnRenamed("id", "gone_id")
-    joined = plain.join(gone, F.col(key).cast("long") == F.col("gone_id"), "left").select(*[F.col(c) for c in plain.columns], "gone")
+    same = later.join(first, F.expr("l.hash = f.hash AND l.bytes = f.bytes AND l.whole = f.whole"), "left_semi")
+    gone = same.groupBy("id").agg(*[F.collect_set(F.expr(f"IF({kind}, hash, null)")).alias(name) for name, kind in (("whole", "whole"), ("ends", "NOT whole"))]).withColumnRenamed("id", "gone_id")
+    joined = plain.join(gone, F.col(key).cast("long") == F.col("gone_id"), "left").select(*[F.col(c) for c in plain.columns], "whole", "ends")
     cols = plain.columns
     at = cols.index(text)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
@@ -151,8 +178,8 @@ def _dedup(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, units:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
             kept, counts = [], []
-            for t, gone in zip(batch.column(at).to_pylist(), batch.column(len(cols)).to_pylist()):
-                kept.append(None if t is None else (done := cut_text(t, set(gone or ())))[0])
+            for t, whole, ends in zip(*(batch.column(k).to_pylist() for k in (at, len(cols), len(cols) + 1))):
+                kept.append(None if t is None else (done := _cut_passages(t, set(whole or ()), set(ends or ())) if passages else _cut(t, set(whole or ())))[0])
                 counts.append((0, 0, 0) if t is None else done[1:])
             arrays = [batch.column(i) if i != at else pa.array(kept, pa.string()) for i in range(len(cols))]
             yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3))], [*cols, "removed_chunks", "removed_lines", "total_lines"])
@@ -161,6 +188,11 @@ def _dedup(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, units:
     return joined.mapInArrow(cut, f"{schema}, removed_chunks long, removed_lines long, total_lines long").toDF(*names, *added_columns(names))
 
 
+def _repeated(units: DataFrame) -> DataFrame:
+    """(hash, first): the hashes that rows with different ids have, and the smallest of these ids."""
+    return units.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("hash", "first")
+
+
 def _cut(text: str, gone: set[int]) -> tuple[str, int, int, int]:
     raw, seen = text.encode(), {}
     if b"\n" not in raw:
@@ -178,15 +210,18 @@ def _cut(text: str, gone: set[int]) -> tuple[str, int, int, int]:
     return b"\n".join(keep).decode(), chunks_gone, lines_gone, total
 
 
-def _cut_passages(text: str, gone: set[int]) -> tuple[str, int, int, int]:
+def _cut_passages(text: str, whole: set[int], ends: set[int]) -> tuple[str, int, int, int]:
     raw, seen = text.encode(), {}
     parts = raw.split(b"\n")
-    drop, line, at = bytearray(len(parts)), 0, 0
+    spans = [(a, b) for a, b, _, h in chunks(raw) if h and _signed(h) in whole] if whole else []
+    drop, line, at, k = bytearray(len(parts)), 0, 0, 0
     for a, b, lines, h in pairs(raw):
         while at < a:
             at += len(parts[line]) + 1
             line += 1
-        if _signed(h) not in gone:
+        while k < len(spans) and spans[k][1] < b:
+            k += 1
+        if _signed(h) not in ends and not (k < len(spans) and spans[k][0] <= a):
             first = next((e for s, e in seen.get(h, ()) if raw[s:e] == raw[a:b]), None)
             if first is None:
                 seen.setdefault(h, []).append((a, b))
