@@ -135,13 +135,13 @@ def _dedup(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, passag
     found = scratch.write(rows.where("id IS NOT NULL AND instr(text, '\n') > 0").mapInArrow(own, "id long, hash long, pairs array<long>"), "chunks")
     whole = found.where("hash IS NOT NULL")
     # a chunk that a smaller document has speaks for the pairs inside it; all other pairs are compared by themselves
-    known = whole.join(_repeated(whole), "hash", "left").select("id", "hash", "first", "pairs").unionByName(found.where("hash IS NULL").withColumn("first", F.lit(None).cast("long")))
+    known = whole.join(_repeated(whole, scratch), "hash", "left").select("id", "hash", "first", "pairs").unionByName(found.where("hash IS NULL").withColumn("first", F.lit(None).cast("long")))
     unit = "named_struct('whole', {}, 'hash', {}, 'first', {})"
     chunk = f"IF(first IS NULL, array(), array({unit.format('true', 'hash', 'first')}))"
     inner = f"IF(first < id, array(), transform(pairs, p -> {unit.format('false', 'p', 'cast(null AS long)')}))"
     units = scratch.write(known.selectExpr("id", f"inline(concat({chunk}, {inner}))"), "units")
     loose = units.where("NOT whole").drop("first")
-    wanted = units.where("whole").unionByName(loose.join(_repeated(loose), "hash")).groupBy("id").agg(F.collect_set(F.struct("whole", "hash", "first")).alias("wanted"))
+    wanted = units.where("whole").unionByName(loose.join(_repeated(loose, scratch), "hash")).groupBy("id").agg(F.collect_set(F.struct("whole", "hash", "first")).alias("wanted"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
@@ -188,9 +188,9 @@ def _dedup(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, passag
     return joined.mapInArrow(cut, f"{schema}, removed_chunks long, removed_lines long, total_lines long").toDF(*names, *added_columns(names))
 
 
-def _repeated(units: DataFrame) -> DataFrame:
-    """(hash, first): the hashes that rows with different ids have, and the smallest of these ids."""
-    return units.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("hash", "first")
+def _repeated(units: DataFrame, scratch: Scratch) -> DataFrame:
+    """(hash, first): the hashes that rows with different ids have, and the smallest of these ids. Written, so that a join to it is broadcast while small, and AQE splits its hot hashes else."""
+    return scratch.write(units.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("hash", "first"), "repeated")
 
 
 def _cut(text: str, gone: set[int]) -> tuple[str, int, int, int]:
