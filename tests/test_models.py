@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -130,3 +131,23 @@ def test_beam_search_of_many_games_matches_one_by_one(spark, monkeypatch):
         assert all((a == b).all() for a, b in zip(search._cut(whole, 12), search._cut(parts, 12)))
     # a call of Python code for each game is what took the time
     assert "FlatMapGroupsInPandas" not in search.beam_search(df, "game", "leg", "player", "prob", "boost")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_exact_quantiles_are_percentiles_without_a_buffer_of_a_cell(spark, tmp_path):
+    from sabermill.operators.aggregates import exact_quantiles
+    from sabermill.operators.resolution import trim_outliers
+
+    draw = random.Random(3)
+    groups = {"many": [draw.gauss(0, 1) for _ in range(3000)], "ties": [float(draw.randrange(4)) for _ in range(500)], "far": [1e300, *map(float, range(99))], "one": [7.5], "same": [2.0] * 9, "nan": [1.0, 2.0, math.nan], "inf": [-math.inf, 1.0, 2.0, math.inf, math.inf], "none": [None, None], "holes": [None, 3.0, 1.0, 0.0, 0.0]}
+    rows = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double").repartition(5)
+    at = [0.0, 0.05, 0.3, 0.5, 0.95, 1.0]
+    got = {r[0]: r[1:] for r in exact_quantiles(rows, ["k"], "v", at).collect()}
+    want = {r[0]: r[1:] for r in rows.groupBy("k").agg(*[F.percentile("v", F.lit(q)) for q in at]).collect()}
+    assert {k: repr(v) for k, v in got.items()} == {k: repr(v) for k, v in want.items()}
+
+    kept = trim_outliers(rows, ["k"], "v", F.col("k") == "none")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan
+    edges = rows.groupBy("k").agg(F.percentile("v", F.lit(0.05)).alias("low"), F.percentile("v", F.lit(0.95)).alias("high"))
+    plain = rows.join(edges, "k").where((F.col("k") == "none") | F.col("v").between(F.col("low") - 1e-6, F.col("high") + 1e-6)).select("k", "v")
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, plain.collect())) and kept.where("k = 'none'").count() == 2
