@@ -65,31 +65,77 @@ def gamma_cdf(x: np.ndarray, mean: np.ndarray, shape: np.ndarray, terms: int = 4
 
 
 def double_poisson_cdf(k: np.ndarray, mean: np.ndarray, precision: np.ndarray) -> np.ndarray:
-    """Double Poisson of an exact mean, normalised over a grid of 12 standard deviations past the means and points of rows alike; its location is found by 50 bisections."""
-    out = np.zeros(len(k))
-    reach = np.maximum(mean + 12 * np.sqrt(mean / np.minimum(precision, 1)), k) + 13
-    for rows in _alike(reach):
-        out[rows] = _double_poisson(k[rows], mean[rows], precision[rows], int(reach[rows].max()))
-    return out
+    """Double Poisson of an exact mean, normalised over a grid of 12 standard deviations past the means and points of rows alike; see ``double_poisson_cdfs``."""
+    return double_poisson_cdfs([k], mean, precision)[0]
 
 
-def _double_poisson(k: np.ndarray, mean: np.ndarray, precision: np.ndarray, top: int) -> np.ndarray:
-    y = np.arange(top, dtype=float)
-    ylogy = y * np.log(np.maximum(y, 1))
-    base = ylogy - y - np.array([math.lgamma(v + 1) for v in y])
+#: Cells of a double Poisson's table that are held at a time: few enough for a processor's cache.
+NEAR = 1 << 15
 
-    def pmf(location: np.ndarray) -> np.ndarray:
-        log = base + precision[:, None] * (y * (1 + np.log(location)[:, None]) - ylogy - location[:, None])
-        p = np.exp(log - log.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
 
-    lo, hi = np.full(len(mean), 1e-9), 2 * mean + 10
-    for _ in range(50):
-        mid = (lo + hi) / 2
-        high = pmf(mid) @ y > mean
-        lo, hi = np.where(high, lo, mid), np.where(high, mid, hi)
-    total = np.cumsum(pmf((lo + hi) / 2), axis=1)
-    return np.where(k < 0, 0.0, total[np.arange(len(k)), np.maximum(k, 0).astype(int)])
+def double_poisson_cdfs(points: list[np.ndarray], mean: np.ndarray, precision: np.ndarray) -> list[np.ndarray]:
+    """The distribution function at several points of each row, whose location is sought once. Rows go in order of their grids, so that a table's rows are alike; a row with anything missing gives NaN."""
+    outs = [np.full(len(mean), np.nan) for _ in points]
+    with np.errstate(all="ignore"):
+        reach = np.maximum.reduce([mean + 12 * np.sqrt(mean / np.minimum(precision, 1)), *points]) + 13
+    order = np.argsort(reach, kind="stable")
+    order, lo = order[np.isfinite(reach[order])], 0
+    while lo < len(order):
+        hi = min(len(order), lo + max(1, int(NEAR // max(reach[order[lo]], 13))))
+        hi = lo + max(1, int(np.searchsorted(reach[order[lo:hi]], 2 * max(reach[order[lo]], 32), "right")))
+        rows = order[lo:hi]
+        for out, found in zip(outs, _double_poisson([k[rows] for k in points], mean[rows], precision[rows], int(reach[rows[-1]]))):
+            out[rows] = found
+        lo = hi
+    return outs
+
+
+_Y = np.arange(4096, dtype=float)
+_YLOGY = _Y * np.log(np.maximum(_Y, 1))
+_BASE = _YLOGY - _Y - _LGAMMA(_Y + 1).astype(float)
+
+
+def _double_poisson(points: list[np.ndarray], mean: np.ndarray, precision: np.ndarray, top: int) -> list[np.ndarray]:
+    """log p(y) = base(y) - precision * y log y + slope * y, less its sum. The log of the mean is nearly straight in the slope, so a few Newton steps find it; rows that they leave unsettled are bisected."""
+    if top <= len(_Y):
+        y, ylogy, base = _Y[:top], _YLOGY[:top], _BASE[:top]
+    else:
+        y = np.arange(top, dtype=float)
+        ylogy = y * np.log(np.maximum(y, 1))
+        base = ylogy - y - _LGAMMA(y + 1).astype(float)
+    alike = (precision == precision[0]).all()
+    fixed = (base - precision[0] * ylogy)[None, :] if alike else base - precision[:, None] * ylogy
+    moments = np.stack([np.ones(top), y, y * y], axis=1)
+
+    def pmf(slope: np.ndarray) -> np.ndarray:
+        log = slope[:, None] * y
+        log += fixed
+        log -= log.max(axis=1, keepdims=True)
+        return np.exp(log, out=log)
+
+    with np.errstate(all="ignore"):
+        slope, step = precision * np.log(mean), np.full(len(mean), np.inf)
+        for _ in range(8):
+            p = pmf(slope)
+            total, first, second = (p @ moments).T
+            first /= total
+            step = (np.log(mean) - np.log(first)) * first / (second / total - first * first)
+            slope = slope + step
+            if (np.abs(step) < 1e-7).all():  # the error after a step is about its square
+                break
+    left = ~(np.abs(step) < 1e-7)
+    if left.any():
+        lo, hi, some, wanted = np.full(left.sum(), 1e-9), 2 * mean[left] + 10, precision[left], mean[left]
+        whole, fixed = fixed, fixed if alike else fixed[left]
+        for _ in range(50):
+            mid = (lo + hi) / 2
+            p = pmf(some * np.log(mid))
+            high = p @ y > wanted * p.sum(axis=1)
+            lo, hi = np.where(high, lo, mid), np.where(high, mid, hi)
+        slope[left], fixed = some * np.log((lo + hi) / 2), whole
+    total = np.cumsum(pmf(slope), axis=1)
+    at = np.arange(len(mean))
+    return [np.where(k < 0, 0.0, total[at, np.maximum(k, 0).astype(int)] / total[:, -1]) for k in points]
 
 
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(64)
@@ -108,7 +154,11 @@ def skew_normal_cdf(x: np.ndarray, mean: np.ndarray, sd: np.ndarray, alpha: np.n
 def under_probability(family: np.ndarray, line: np.ndarray, mean: np.ndarray, shape: np.ndarray) -> np.ndarray:
     """P(below the line) with half of the mass on it; families poisson, negbin, doublepoisson, normal, gamma."""
     out = np.full(len(line), np.nan)
-    for name, cdf in (("poisson", lambda k, m, s: poisson_cdf(k, m)), ("negbin", negbin_cdf), ("doublepoisson", double_poisson_cdf)):
+    i = family == "doublepoisson"
+    if i.any():
+        low, high = double_poisson_cdfs([np.ceil(line[i]) - 1, np.floor(line[i])], mean[i], shape[i])
+        out[i] = (low + high) / 2
+    for name, cdf in (("poisson", lambda k, m, s: poisson_cdf(k, m)), ("negbin", negbin_cdf)):
         i = family == name
         if i.any():
             low, high = cdf(np.ceil(line[i]) - 1, mean[i], shape[i]), cdf(np.floor(line[i]), mean[i], shape[i])
