@@ -177,3 +177,41 @@ def test_double_poisson_seeks_its_location_once_and_briefly(monkeypatch):
     assert d.double_poisson_cdf(np.array([0.0]), np.array([1e-6]), np.array([0.3]))[0] == pytest.approx(1, abs=1e-5)
     odd = d.under_probability(np.full(3, "doublepoisson", dtype=object), np.array([2.0, np.nan, 2.0]), np.array([2.5, 2.5, np.nan]), np.full(3, 0.8))
     assert np.isnan(odd).tolist() == [False, True, True]
+
+
+@pytest.fixture
+def games(spark, tmp_path):
+    draw = random.Random(11)
+    rows = [(i, draw.randrange(25), draw.randrange(6), 1, float(draw.randrange(1, 51)), 0.01, draw.randrange(900)) for i in range(3000)]
+    rows = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, d int")
+    rows.selectExpr("*", "1000D AS l_extendedprice", "cast(date_add(DATE'1997-06-01', d) AS timestamp_ntz) AS l_shipdate").repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path)
+
+
+def _nodes(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matrix_of_a_cell_is_written_once_and_exchanged_twice(spark, games):
+    from sabermill.plans import profiles, training
+    from sabermill.plans.base import Tables
+
+    t = Tables(spark, games)
+    features = profiles.as_of_features(profiles._games(t).select("player", "opponent", "day", "v"), "player", "day", "v", "opponent")
+    assert "SortMergeJoin" not in _nodes(features) and "ShuffledHashJoin" not in _nodes(features)
+    assert "Exchange" not in _nodes(training._matrix(t))  # fits and scores read files
+
+
+def test_trees_of_sums_are_those_of_rows(spark, games):
+    from pyspark.ml.regression import GBTRegressor
+
+    from sabermill.plans import training
+    from sabermill.plans.base import Tables
+
+    matrix = training._matrix(Tables(spark, games)).fillna(0.0, training.FEATURES)
+    cell = training.Cell(matrix, training.FEATURES, "v", 4, 2)
+    rows = cell.assembled(cell.binned(matrix))
+    plain = GBTRegressor(featuresCol="features", labelCol="v", predictionCol="predicted", maxIter=4, maxDepth=2, maxBins=training.BINS + 1, seed=7).fit(rows)
+    assert cell.sums.agg(F.sum("_weight")).first()[0] == 3000
+    assert plain.featureImportances.toArray() == pytest.approx(cell.model.featureImportances.toArray(), abs=1e-6)
+    assert [r.predicted for r in plain.transform(rows).collect()] == pytest.approx([r.predicted for r in cell.transform(matrix).collect()], abs=1e-6)
