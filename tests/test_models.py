@@ -215,3 +215,17 @@ def test_trees_of_sums_are_those_of_rows(spark, games):
     assert cell.sums.agg(F.sum("_weight")).first()[0] == 3000
     assert plain.featureImportances.toArray() == pytest.approx(cell.model.featureImportances.toArray(), abs=1e-6)
     assert [r.predicted for r in plain.transform(rows).collect()] == pytest.approx([r.predicted for r in cell.transform(matrix).collect()], abs=1e-6)
+
+
+def test_grid_writes_its_matrix_once(spark, games, monkeypatch):
+    from sabermill.plans import training
+    from sabermill.plans.base import QUERIES
+
+    made, of = [], training.as_of_features
+    monkeypatch.setattr(training, "as_of_features", lambda *a: made.append(of(*a)) or made[-1])
+    fits, init = [], training.Cell._bins
+    monkeypatch.setattr(training.Cell, "_bins", lambda self, *a: fits.append(1) or init(self, *a))
+    assert sorted(r.depth for r in QUERIES["grid_search"](spark, games).collect()) == [1, 2]
+    assert len(made) == 1 and len(fits) == 2  # rows are added up once a fold
+    shares = QUERIES["feature_importance"](spark, games).collect()
+    assert sum(r.percent for r in shares) == pytest.approx(100, abs=0.01) and len(fits) == 3
